@@ -1,0 +1 @@
+"""gistmill.streaming"""
