@@ -124,13 +124,13 @@ class Words:
 
     __slots__ = ("hash", "start", "end", "first", "text_of")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool, hashes: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool, hashes: bool = True, apart: np.ndarray = _SPACE):
         n, texts = len(raw), len(offsets) - 1
         if n == 0:
             self.hash, self.start, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             self.first, self.text_of = np.zeros(texts + 1, np.int64), np.zeros(0, np.int64)
             return
-        inside = ~_SPACE[raw]
+        inside = ~apart[raw]
         edges = offsets[(offsets > 0) & (offsets < n)]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]

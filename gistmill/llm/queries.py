@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, pii, quality, toxicity
 
 #: The rank file of byte-level BPE and its splitting pattern.
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -27,8 +27,32 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, digests=True)
 
 
+def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels, "toxic"))
+    return _judged(found, 0.5)
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.fit(docs, labels, "quality"))
+    return _judged(found, 0.3)
+
+
+def _judged(found: DataFrame, least: float) -> DataFrame:
+    held_out = quality.bucket_of(F.col("doc_id"), 5) == 0
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_pii_anchors": op1_pii_anchors, "op5_byte_bpe": op5_byte_bpe}
+    return {
+        "op1_pii_anchors": op1_pii_anchors,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_toxicity_ftrl": op6_toxicity_ftrl,
+        "op10_quality_trees": op10_quality_trees,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
