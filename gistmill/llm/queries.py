@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, toxicity
+from . import bpe, fingerprints, pii, quality, sharding, toxicity
+from .common import text_bytes
 
 #: The rank file of byte-level BPE and its splitting pattern.
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -22,6 +23,18 @@ def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of nearly equal bytes."""
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    crc = F.crc32(text_bytes()).alias("text_crc32")
+    return found.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, digests=True)
@@ -49,6 +62,8 @@ def _judged(found: DataFrame, least: float) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii_anchors": op1_pii_anchors,
+        "op3_histogram_shards": op3_histogram_shards,
+        "op4_prefix_fingerprints": op4_prefix_fingerprints,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity_ftrl": op6_toxicity_ftrl,
         "op10_quality_trees": op10_quality_trees,
