@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, pii, quality, sharding, toxicity
+from . import bpe, decontamination, fingerprints, pii, quality, scoring, sharding, toxicity
 from .common import text_bytes
 
 #: The rank file of byte-level BPE and its splitting pattern.
@@ -47,6 +47,11 @@ def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(found, 0.5)
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every text."""
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy of one; only those have rows."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -71,6 +76,7 @@ def queries() -> dict:
         "op4_prefix_fingerprints": op4_prefix_fingerprints,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity_ftrl": op6_toxicity_ftrl,
+        "op7_context_tree": op7_context_tree,
         "op8_decontamination": op8_decontamination,
         "op10_quality_trees": op10_quality_trees,
     }
