@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, pii, quality, scoring, sharding, toxicity
+from . import bpe, decontamination, fingerprints, jaccard, pii, quality, scoring, sharding, toxicity
 from .common import text_bytes
 
 #: The rank file of byte-level BPE and its splitting pattern.
@@ -23,6 +23,11 @@ def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of nearly equal bytes."""
     found = sharding.shard(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ def _judged(found: DataFrame, least: float) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii_anchors": op1_pii_anchors,
+        "op2_parity_jaccard": op2_parity_jaccard,
         "op3_histogram_shards": op3_histogram_shards,
         "op4_prefix_fingerprints": op4_prefix_fingerprints,
         "op5_byte_bpe": op5_byte_bpe,
