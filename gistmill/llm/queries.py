@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, jaccard, pii, quality, scoring, sharding, toxicity
+from . import bpe, decontamination, fingerprints, jaccard, pii, quality, scoring, sharding, substrings, toxicity
 from .common import text_bytes
 
 #: The rank file of byte-level BPE and its splitting pattern.
@@ -62,6 +62,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages that an earlier document has."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -84,6 +89,7 @@ def queries() -> dict:
         "op6_toxicity_ftrl": op6_toxicity_ftrl,
         "op7_context_tree": op7_context_tree,
         "op8_decontamination": op8_decontamination,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_trees": op10_quality_trees,
     }
 
