@@ -1,17 +1,19 @@
-"""The corpus pipeline: each stage works on what the one before kept."""
+"""The corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, tokens. Each stage works on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistmill.llm.common import written
 from gistmill.llm.stages import STAGES
 
+#: SQL expresses neither the classifier nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; between two stages the rows are a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

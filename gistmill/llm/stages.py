@@ -1,3 +1,62 @@
-"""Stages of the corpus pipeline: (name, function of spark, docs, sf_dir)."""
+"""Stages of the corpus pipeline: (name, function of spark, docs, sf_dir).
 
-STAGES: list = []
+Each works on all rows that the one before kept. All but the last return the columns of documents, in their order.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, decontamination, jaccard, pii, quality
+from .common import ship
+from .queries import PATTERN, VOCABULARY, table
+
+#: Documents of a lower quality score go.
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, fitted on the labels, doesn't reject. Empty texts are judged like others."""
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality.score(docs, trees, keep=True).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id. Documents without shingles or id all stay."""
+    linked = jaccard.link(docs)
+    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark item or an edited copy of one."""
+    leak = decontamination.leak_score(docs, table(spark, sf_dir, "benchmark"))
+    return docs.where(leak < decontamination.LEAST_SCORE)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with each span of personal data replaced by its kind, and n_chars of the new text. Null texts stay."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        return pd.Series([pii.redact(x, pii.find(x)) for x in texts], dtype=object)
+
+    out = docs.withColumn("text", redacted("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text decoded from them, of every document."""
+    return bpe.encode(docs, VOCABULARY, PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_group),
+    ("decontamination", drop_leaks),
+    ("personal_data", redact_personal_data),
+    ("tokens", encode),
+]
