@@ -1,0 +1,13 @@
+"""Tables between the steps of a query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def settled_table(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the folder that the cluster names, so that lineage ends there and lost executors do no harm."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gistmill-checkpoints")
+    return df.checkpoint()
