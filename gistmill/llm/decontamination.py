@@ -214,7 +214,7 @@ def _matched(rows: DataFrame, items: Items, least: float) -> DataFrame:
 
 
 def leak_score(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> Column:
-    """A column with the best score of any item, 0 under `least`; for a filter without a join."""
+    """A column of docs, whose names must be distinct, with the best score of any item, 0 under `least`; for a filter without a join."""
     ship(docs.sparkSession)
     rows = pick(docs, text=text_col).select(text_bytes().alias("text"))
     total: Column = F.lit(0.0)

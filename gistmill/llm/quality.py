@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, pick, ship, text_bytes
@@ -173,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return Trees().fit(x[order], (y[order] > 0).astype(float))
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id_col and score (0 to 1, the probability of label 1) of every row; with keep, every other column too.
+def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and score (0 to 1, the probability of label 1) of every row, without a shuffle.
 
     Null texts count as empty and get a score; null ids, repeated rows and long texts each give a row; an empty table none.
     """
@@ -188,23 +189,19 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             values = pa.array(np.concatenate(found) if found else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "score"])
 
-    if keep:
-        return _scored_beside(docs, model, text_col)
     rows = pick(docs, id=id_col, text=text_col).select("id", text_bytes().alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
-def _scored_beside(docs: DataFrame, model, text_col: str) -> DataFrame:
-    """Every column of the rows and `quality_score`, by a scalar function: no join by id, so repeated ids do no harm."""
+def score_column(spark: SparkSession, trees: Trees, text: Column) -> Column:
+    """The score of UTF-8 bytes as a column, for a filter that keeps every other column and joins nothing."""
+    ship(spark)
+    model = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    def scored(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array([x or b"" for x in texts], pa.binary())], names=["text"])
         found = [model.value.score(statistics(raw, offsets)) for _, _, raw, offsets in blocks(batch, "text")]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    at = docs.columns.index(text_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.withColumn("quality_score", scored(text_bytes(f"c{at}"))).toDF(*docs.columns, "quality_score")
+    return scored(text)
