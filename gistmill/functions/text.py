@@ -110,7 +110,8 @@ def ngrams(toks: Column, n: int, padded: bool = True) -> Column:
 
 
 def headline(text: Column) -> Column:
-    return F.coalesce(F.when(F.trim(text) != "", F.regexp_replace(F.trim(text), "\n", " ")), F.lit("NONE"))
+    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.coalesce(F.when(stripped != "", F.regexp_replace(stripped, "\n", " ")), F.lit("NONE"))
 
 
 def date_of(doc_id: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.operators.steps import settled_table
+
 
 @dataclass(frozen=True)
 class Config:
@@ -37,7 +39,9 @@ def fixed_iterations(nodes: DataFrame, edges: DataFrame, iterations: int, dampen
     step = step.select("docset_id", F.col("i").alias("from"), F.col("j").alias("i"), "p")
     out = edges.select("docset_id", "i").distinct().withColumn("linked", F.lit(1))
     scores = sized.join(out, ["docset_id", "i"], "left").withColumn("score", 1 / F.col("n"))
-    for _ in range(iterations):
+    for k in range(iterations):
+        if k % 2:  # each step reads the scores twice, so without an end the plan would double with every step
+            scores = settled_table(scores)
         sent = step.join(scores.select("docset_id", F.col("i").alias("from"), "score"), ["docset_id", "from"]).groupBy("docset_id", "i").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         everywhere = F.sum("score").over(of_docset) / F.col("n")
         loose = F.sum(F.when(F.col("linked").isNull(), F.col("score")).otherwise(0.0)).over(of_docset) / F.col("n") if mode == "documented" else F.lit(0.0)

@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     return sents(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.size(T.words(toks))).alias("with_entities"), F.sum(F.size(T.words(toks, entities=False))).alias("without_entities"))
 
 
-@query("headlines", "select page_id, coalesce(case when trim(t) <> '' then replace(trim(t), chr(10), ' ') end, 'NONE') as headline from (select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as t from pages)")
+@query("headlines", "select page_id, coalesce(case when t <> '' then replace(t, chr(10), ' ') end, 'NONE') as headline from (select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g') as t from pages)")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.headline(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("headline"))
 

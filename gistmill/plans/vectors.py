@@ -56,7 +56,7 @@ for _mode in ("documented", "as_implemented"):
 
     @query(f"lexrank_fixed_{_mode}", _rank_sql(_mode, 3))
     def _(spark, sf_dir, mode=_mode):
-        from gistmill.plans.steps import settled_table
+        from gistmill.operators.steps import settled_table
 
         edges = settled_table(edges_of(spark, sf_dir))
         nodes = sents(spark, sf_dir).select("docset_id", F.struct("doc_id", "sent_idx").alias("i"))
@@ -64,7 +64,7 @@ for _mode in ("documented", "as_implemented"):
 
 
 def ranked(spark, sf_dir):
-    from gistmill.plans.steps import settled_table
+    from gistmill.operators.steps import settled_table
 
     every = sents(spark, sf_dir)
     scores = lexrank.converged(vectors_of(spark, sf_dir), every)
@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 
 @query("lexrank_summary_ordered")
 def _(spark, sf_dir):
-    from gistmill.plans.steps import settled_table
+    from gistmill.operators.steps import settled_table
 
     every = sents(spark, sf_dir)
     chosen = selection.greedy(ranked(spark, sf_dir)).join(every.select("doc_id", "sent_idx", "sentence"), ["doc_id", "sent_idx"])
@@ -181,7 +181,7 @@ def _(spark, sf_dir):
 
 @query("ilp_summary")
 def _(spark, sf_dir):
-    from gistmill.plans.steps import settled_table
+    from gistmill.operators.steps import settled_table
 
     rows, every = content(spark, sf_dir), sents(spark, sf_dir)
     counted = tfidf.tf(rows, "docset")
