@@ -1 +1 @@
-"""gistmill.functions"""
+"""Column expressions."""

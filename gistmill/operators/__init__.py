@@ -1 +1 @@
-"""gistmill.operators"""
+"""Operators over document sets."""

@@ -1 +1 @@
-"""gistmill.plans"""
+"""The registered queries."""

@@ -1 +1 @@
-"""gistmill.sources"""
+"""Readers and writers."""

@@ -1 +1 @@
-"""gistmill.streaming"""
+"""Empty: the modelled system has no streaming operator."""
