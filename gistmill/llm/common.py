@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 BLOCK_BYTES = 2 << 20
+#: Parts into which spread_join deals the rows of one key.
+SALTS = 256
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -53,6 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], row: str, how: str = "inner") -> DataFrame:
+    """big joined with small on keys, where one key may hold a third of big's rows; small has a row for each key at most.
+
+    Rows of big are dealt to salts by their column `row`. small first meets the distinct (keys, salt), at most SALTS of a key,
+    and these then meet big's rows, so that no task gets a key's whole group.
+    """
+    salted = big.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    met = salted.select(*keys, "salt").distinct().join(small, keys)
+    return salted.join(met, [*keys, "salt"], how).drop("salt")
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, text_bytes, written
+from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, spread_join, text_bytes, written
 from .graph import components
 
 #: Words of a shingle.
@@ -233,11 +233,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = written(texts.mapInArrow(_set_rows, "id long, n long, d1 long, d2 long"), "sets")
     filled = rows.where("n > 0 and id is not null")
     equal = filled.groupBy("d1", "d2").agg(F.min("id").alias("first"))
-    named = filled.join(equal, ["d1", "d2"]).select("id", "first").distinct()  # equal sets under their smallest id
+    # equal sets under their smallest id
+    named = written(spread_join(filled.select("id", "d1", "d2"), equal, ["d1", "d2"], "id").select("id", "first").distinct(), "named")
+    least = named.groupBy("id").agg(F.min("first").alias("least"))
 
     keyed = texts.where("id is not null").mapInArrow(_key_rows, "key long, id long")
     shared = written(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_rows, "key long, id long"), "shared-keys")
-    members = shared.join(named.groupBy("id").agg(F.min("first").alias("first")), "id").select("key", F.col("first").alias("id")).distinct()
+    members = shared.join(least, "id").select("key", F.col("least").alias("id")).distinct()
     pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(members.join(pivots, "key"), "members")
 
@@ -259,9 +261,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     crossing = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_pairs, "a long, b long").distinct()
     more = written(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets), "cross-links")
 
-    equals = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = components(links.unionByName(more).unionByName(equals))
-    for table in (shared, members, sets, links, more):
+    several_sets = named.join(least, "id").where("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # of one id
+    found = components(links.unionByName(more).unionByName(several_sets))  # copies stay out: they take their first one's label
+    copies = spread_join(named, found.withColumnRenamed("node", "first"), ["first"], "id", "left")
+    found = written(copies.groupBy("id").agg(F.min(F.coalesce("label", "first")).alias("label")), "found")
+    for table in (named, shared, members, sets, links, more):
         drop_written(table)
-    out = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
+    out = rows.join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
