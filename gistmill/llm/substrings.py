@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, pick, ship, splitmix, text_bytes, written
+from .common import Words, blocks, drop_written, grams, pick, ship, splitmix, spread_join, text_bytes, written
 
 #: Words of a window, of an anchor, and the grams of which one is an anchor.
 WINDOW, ANCHOR = 13, 6
@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(texts.mapInArrow(_text_rows, "id long, n long, d1 long, d2 long, kept string"), "texts")
     known = texts.where("id is not null")
     owners = rows.where(f"id is not null and n >= {WINDOW}").groupBy("d1", "d2").agg(F.min("id").alias("owner"))
-    owned = written(rows.where(f"id is not null and n >= {WINDOW}").join(owners, ["d1", "d2"]).select("id", "d1", "owner").distinct(), "owners")
+    long = rows.where(f"id is not null and n >= {WINDOW}").select("id", "d1", "d2")
+    owned = written(spread_join(long, owners, ["d1", "d2"], "id").select("id", "d1", "owner").distinct(), "owners")
 
     anchors = known.mapInArrow(_anchor_rows, "deal long, id long, place long, known boolean")
     shared = anchors.repartition("deal").sortWithinPartitions("deal").mapInArrow(_shared_anchors, "id long, place long")
