@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds find places in training texts, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, lower-cased, so case and punctuation do not matter. Every n-gram of an item is counted
-over the whole corpus; of each few neighbouring n-grams of an item the rarest becomes a seed. A text that holds a seed is
-aligned with the item around that place: +1 for an equal word, -1 for another or a missing one. The score is the best
+Words are runs of letters and digits, lower-cased, so case and punctuation do not matter. A text that holds a seed of an item
+is aligned with the item around that place: +1 for an equal word, -1 for another or a missing one. The score is the best
 alignment's sum over the item's words. Items are taken in blocks of bounded size, each of which is broadcast; the corpus is
 read once a block to count and once to match.
+
+Seeds are word pairs, the rarest by counts over the whole corpus, and as many of them as lose no leak. An alignment of m equal
+words and e edits that sums up to t = m - e lies in e + 1 runs of equal words at most, so m - e - 1 = t - 1 of the item's n - 1
+pairs or more stand in the text as they are. Of any n - t + 1 pairs one is then among those, even if others occur nowhere.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, grams, pick, ship, splitmix, text_bytes
 from .toxicity import _APART as APART
 
-#: Words of a seed, n-grams of which the rarest is a seed, and the least score of a leak.
-SEED_WORDS, SEED_WINDOW, LEAST_SCORE = 3, 3, 0.5
+#: Words of a seed, of the shortest item that is searched for, and the least score of a leak.
+SEED_WORDS, LEAST_WORDS, LEAST_SCORE = 2, 3, 0.5
+#: Places of seeds that one step of a search takes at once.
+_STEP = 2_000_000
 #: Words of items that one broadcast block holds at most (a longer item is a block of its own).
 BLOCK_WORDS = 500_000
 #: Bits of the table that n-grams pass before they are looked up.
@@ -39,6 +44,7 @@ class Items:
         item_of = np.repeat(np.arange(len(ids)), self.size)
         hashes = grams(self.words, SEED_WORDS)
         at = np.flatnonzero(item_of[: len(hashes)] == item_of[SEED_WORDS - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+        at = at[self.size[item_of[at]] >= LEAST_WORDS]
         self.gram, self.gram_item, self.gram_at = hashes[at], item_of[at], at - self.first[item_of[at]]
         self.keys = np.unique(self.gram)
         self.own = np.unique(splitmix(self.words ^ splitmix(item_of.astype(np.uint64) + np.uint64(7))))
@@ -50,14 +56,17 @@ class Items:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.seed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def choose(self, counts: np.ndarray) -> Items:
-        """Keep the rarest of each SEED_WINDOW neighbouring n-grams; counts are those of self.keys."""
-        rarity = counts[np.searchsorted(self.keys, self.gram)]
+    def least_sum(self, least: float) -> np.ndarray:
+        """The least sum of an alignment with each item that gives it the score `least`."""
+        return np.ceil(least * self.size - 1e-9).astype(np.int64)
+
+    def choose(self, counts: np.ndarray, least: float) -> Items:
+        """Keep each item's rarest n-grams, as many as a leak of score `least` can't do without; counts are those of self.keys."""
+        order = np.lexsort((counts[np.searchsorted(self.keys, self.gram)], self.gram_item))
+        item = self.gram_item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item, "left")
         keep = np.zeros(len(self.gram), bool)
-        start = np.flatnonzero(np.diff(self.gram_item, prepend=-1))
-        for a, b in zip(start, [*start[1:], len(self.gram)], strict=True):
-            for i in range(a, max(a + 1, b - SEED_WINDOW + 1)):
-                keep[i + int(rarity[i : min(i + SEED_WINDOW, b)].argmin())] = True
+        keep[order] = rank < (self.size - self.least_sum(least) + 1)[item]
         self._set_seeds(keep)
         return self
 
@@ -86,34 +95,39 @@ class Items:
         at, hashes = self._passing(words, self.filter)
         low, high = np.searchsorted(self.seed, hashes, "left"), np.searchsorted(self.seed, hashes, "right")
         times = high - low
-        if not times.any():
+        at, low, times = at[times > 0], low[times > 0], times[times > 0]
+        if not len(at):
             return none
+        found = [self._leaks(words, at[part], low[part], times[part], least) for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(times) // _STEP)) + 1)]
+        text, item, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = text * len(self.ids) + item
+        order = np.lexsort((-scores, pair))
+        keep = order[np.append(True, np.diff(pair[order]) != 0)] if len(order) else order
+        return text[keep], item[keep], scores[keep]
+
+    def _leaks(self, words: Words, at: np.ndarray, low: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, score) of alignments that score `least` or more, around the seeds at places `at`, each with `times` seeds from `low` on."""
         place = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         at = np.repeat(at, times)
         item, text = self.seed_item[place], words.text_of[at]
         diagonal = at - self.seed_at[place]
+        # an alignment with more missing words on either side would sum up to less
+        slack = np.maximum(self.size - self.least_sum(least), 0)
         # one alignment for seeds of a text and an item whose diagonals are close
         order = np.lexsort((diagonal, item, text))
         text, item, diagonal = text[order], item[order], diagonal[order]
         first = np.ones(len(text), bool)
-        first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > 4)
+        first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > 4 + slack[item[1:]] // 2)
         start = np.flatnonzero(first)
         last = np.append(start[1:], len(text)) - 1
         text, item, low, high = text[start], item[start], diagonal[start], diagonal[last]
-        slack = 4 + self.size[item] // 4
-        low = np.maximum(low - slack, words.first[text])
-        high = np.minimum(high + self.size[item] + slack, words.first[text + 1])
+        low = np.maximum(low - slack[item], words.first[text])
+        high = np.minimum(high + self.size[item] + slack[item], words.first[text + 1])
         scores = np.zeros(len(text))
         for part in np.array_split(np.argsort(high - low, kind="stable"), max(1, int((high - low).sum() // 400_000))):
             scores[part] = self._align(words.hash, low[part], high[part], item[part], least)
         good = scores >= least
-        if not good.any():
-            return none
-        text, item, scores = text[good], item[good], scores[good]
-        pair = text * len(self.ids) + item
-        order = np.lexsort((-scores, pair))
-        keep = order[np.append(True, np.diff(pair[order]) != 0)]
-        return text[keep], item[keep], scores[keep]
+        return text[good], item[good], scores[good]
 
     def _align(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
         """Scores of windows against their items. A window with too few of the item's words, a bound on the score, is not aligned."""
@@ -164,7 +178,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield Items(ids, texts)
 
 
-def seeded(docs: DataFrame, items: Items) -> Items:
+def seeded(docs: DataFrame, items: Items, least: float = LEAST_SCORE) -> Items:
     """The block with its seeds chosen by counts over all of `docs` (columns id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -179,13 +193,13 @@ def seeded(docs: DataFrame, items: Items) -> Items:
     found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(items.keys), np.int64)
     counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return items.choose(counts)
+    return items.choose(counts, least)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id_col, item_id and score (0 to 1) of each text and item whose best alignment scores `least` or more; no shuffle of texts.
 
-    Null and empty texts match nothing, nor do items of fewer than SEED_WORDS words; equal items each match; null ids,
+    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words; equal items each match; null ids,
     repeated rows and texts of any length each are searched; without items or documents there are no rows.
     """
     spark = docs.sparkSession
@@ -193,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_bytes().alias("text"))
     out = None
     for items in item_blocks(benchmark, item_col, item_text_col):
-        found = _matched(rows, seeded(rows, items), least)
+        found = _matched(rows, seeded(rows, items, least), least)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "id long, item_id long, score double")
@@ -219,7 +233,7 @@ def leak_score(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
     rows = pick(docs, text=text_col).select(text_bytes().alias("text"))
     total: Column = F.lit(0.0)
     for items in item_blocks(benchmark):
-        total = F.greatest(total, _scorer(rows, seeded(rows, items), least)(text_bytes(text_col)))
+        total = F.greatest(total, _scorer(rows, seeded(rows, items, least), least)(text_bytes(text_col)))
     return total
 
 

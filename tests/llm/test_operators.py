@@ -361,5 +361,29 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_leaks_of_short_runs(spark):
+    random = np.random.default_rng(5)
+    items = {0: [f"a{i}" for i in range(20)], 1: [f"b{i}" for i in range(30)], 2: [f"c{i}" for i in range(5)], 3: [f"d{i}" for i in range(24)], 4: ["e0", "e1", "e2"]}
+    filler = [f"f{i}" for i in range(40)]
+    edits = [
+        [w if i % 5 < 4 else "zzz" for i, w in enumerate(items[0])],
+        [w if i % 4 < 3 else "zzz" for i, w in enumerate(items[1])],
+        *([w if i != j else "zzz" for i, w in enumerate(items[2])] for j in range(5)),
+        [x for i, w in enumerate(items[3]) for x in ([w, "zzz"] if i % 2 and i < 23 else [w])],  # a word put in after every second
+        ["e0", "e1", "zzz"],
+    ]
+    edits += [edits[0], items[0], edits[1]] * 3  # equal copies, edited and not
+    for _ in range(60):
+        item = items[int(random.integers(0, 5))]
+        edits.append([x for w in item for x in ([], ["yyy"], [w, "yyy"], [w], [w], [w], [w], [w])[int(random.integers(0, 8))]])
+    rows = [(k, " ".join(filler[: k % 40] + x + filler)) for k, x in enumerate(edits)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in decontamination.find_leaks(docs, bench).collect()}
+    plain = {(i, k): round(plain_alignment(x, t.split()), 6) for i, t in rows for k, x in items.items()}
+    assert found == {pair: s for pair, s in plain.items() if s >= decontamination.LEAST_SCORE}
+    assert {(k, x) for k, x in enumerate((0, 1, 2, 2, 2, 2, 2, 3))} <= set(found)
+
+
 def test_no_rows_for_an_empty_schema(spark):
     assert spark.createDataFrame([], SCHEMA).count() == 0
