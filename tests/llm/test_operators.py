@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, decontamination, fingerprints, jaccard, pii, quality, scoring, sharding, substrings, toxicity
+from gistmill.llm import bpe, decontamination, fingerprints, jaccard, pii, quality, queries, scoring, sharding, substrings, toxicity
 from gistmill.llm.common import Words, grams
 
 from .helpers import SCHEMA, documents, empty, pairs
@@ -209,6 +210,15 @@ def test_shards_are_nearly_equal(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * 110 + 0.01 * sum(sizes) / 8
 
 
+def test_digests_are_of_texts_that_shards_hold(spark, monkeypatch):
+    shard = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda docs, **named: shard(docs, **named).withColumn("text", F.concat("text", F.lit(" moved"))))
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["text_crc32"] for r in queries.op3_histogram_shards(spark, sf).collect()}
+    assert found == {i: zlib.crc32(f"{t} moved".encode()) for i, t in texts.items()}
+
+
 def test_fingerprints(spark, docs, rows):
     found = collected(fingerprints.compare_neighbours(docs, bucket_bytes=20_000))
     ordered = sorted(rows, key=lambda r: r[0])
