@@ -63,7 +63,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the passages that an earlier document has."""
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,12 @@ def _chosen(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, start + view[start].argmin(1), hashes
 
 
-def _kept(raw: np.ndarray, words: Words, a: int, b: int, keep: np.ndarray | None = None) -> str:
-    """SHA-256 of words a to b, or of those of them that are kept, joined by one space."""
+def _kept(raw: np.ndarray, words: Words, a: int, b: int, keep: np.ndarray) -> bytes:
+    """Those of words a to b that are kept, joined by one space."""
     text = raw.tobytes() if b - a and (b - a) * 200 > len(raw) else None
     cut = (lambda s, e: text[s:e]) if text is not None else (lambda s, e: raw[s:e].tobytes())
-    start, end = words.start[a:b], words.end[a:b]
-    if keep is not None:
-        start, end = start[keep], end[keep]
-    return hashlib.sha256(b" ".join(map(cut, start.tolist(), end.tolist()))).hexdigest()
+    start, end = words.start[a:b][keep], words.end[a:b][keep]
+    return b" ".join(map(cut, start.tolist(), end.tolist()))
 
 
 def _digest(hashes: np.ndarray) -> np.ndarray:
@@ -56,11 +54,9 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in blocks(batch, "text"):
             words = Words(raw, offsets, lower=False)
-            data, first = raw.tobytes(), words.first.tolist()
-            texts = [data[offsets[i] : offsets[i + 1]] for i in range(b - a)]
+            first = words.first.tolist()
             digests = np.array([_digest(words.hash[first[i] : first[i + 1]]) for i in range(b - a)]).reshape(-1, 2)
-            kept = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(words.first)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(kept)], names=["id", "n", "d1", "d2", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(words.first)), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["id", "n", "d1", "d2"])
 
 
 def _dealt(places: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -173,24 +169,30 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_words, n_removed, kept_text) of rows (id, text, repeats, copied): windows that are repeats and digests of the id's texts that are copies."""
     for batch in batches:
         for a, b, raw, offsets in blocks(batch, "text"):
             words = Words(raw, offsets, lower=False)
             windows = grams(words.hash, WINDOW).view(np.int64)
-            repeats = batch.column(2).slice(a, b - a)
-            flat, bounds = repeats.flatten().to_numpy(), np.cumsum([0, *np.diff(repeats.offsets.to_numpy())])
-            removed, kept, digests = [], [], []
+            (flat, bounds), (digests, ends) = ((x.flatten().to_numpy(), np.cumsum([0, *np.diff(x.offsets.to_numpy())])) for x in (batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)))
+            removed, kept = [], []
             for i in range(b - a):
                 x, y = words.first[i], words.first[i + 1]
+                if ends[i] < ends[i + 1] and _digest(words.hash[x:y])[0] in digests[ends[i] : ends[i + 1]]:
+                    removed.append(int(y - x)), kept.append(b"")
+                    continue
+                if bounds[i] == bounds[i + 1]:
+                    removed.append(0), kept.append(b" ".join(raw[offsets[i] : offsets[i + 1]].tobytes().split()))
+                    continue
                 here = np.flatnonzero(np.isin(windows[x : max(x, y - WINDOW + 1)], flat[bounds[i] : bounds[i + 1]]))
                 edges = np.zeros(y - x + 1, np.int64)
                 np.add.at(edges, here, 1)
                 np.add.at(edges, here + WINDOW, -1)
                 keep = np.cumsum(edges)[:-1] == 0
-                digests.append(_digest(words.hash[x:y])[0])
-                removed.append(int((~keep).sum()))
-                kept.append(_kept(raw, words, x, y, keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], names=["id", "d1", "cut", "cut_kept"])
+                removed.append(int((~keep).sum())), kept.append(_kept(raw, words, x, y, keep))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_text"]
+            )
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -201,13 +203,14 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _near(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts whose ids may be among ids."""
+def _near(texts: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
+    """Rows of texts whose ids may be among ids; or all the others, and those of a null id."""
     shared = texts.sparkSession.sparkContext.broadcast(_bits(ids))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column(1).to_numpy()]))
+            among = shared.value[batch.column(1).to_numpy()] & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(among != others))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["id", "text"])
 
     placed = texts.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("place"), "text")
@@ -215,7 +218,7 @@ def _near(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of every row.
+    """id_col, n_words, n_removed, kept_text (the kept words joined by one space) and its kept_sha256 of every row.
 
     A word goes if a window of 13 consecutive words that covers it also starts in a document of a smaller id; windows are
     judged on the input. Words are split at ASCII white space and compared as they are, by 64-bit hashes of windows. Null
@@ -225,7 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     texts = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_bytes().alias("text"))
-    rows = written(texts.mapInArrow(_text_rows, "id long, n long, d1 long, d2 long, kept string"), "texts")
+    rows = written(texts.mapInArrow(_text_rows, "id long, n long, d1 long, d2 long"), "texts")
     known = texts.where("id is not null")
     owners = rows.where(f"id is not null and n >= {WINDOW}").groupBy("d1", "d2").agg(F.min("id").alias("owner"))
     long = rows.where(f"id is not null and n >= {WINDOW}").select("id", "d1", "d2")
@@ -238,22 +241,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = places.join(owner_of, "id")
     windows = _near(known, places.select("id")).join(seeds, "id").select("owner", "text", "places").mapInArrow(_window_rows, "deal long, owner long, window long")
     repeats = windows.repartition("deal").sortWithinPartitions("deal", "owner").mapInArrow(_repeats, "owner long, window long")
-    dirty = written(repeats.groupBy(F.col("owner").alias("id")).agg(F.collect_set("window").alias("repeats")), "repeats")
-    again = _near(known, dirty.select("id")).join(dirty, "id").select("id", "text", "repeats")
-    cut = written(again.mapInArrow(_cut_rows, "id long, d1 long, cut long, cut_kept string"), "cut")
-    for table in (places, dirty):
+    dirty = repeats.groupBy(F.col("owner").alias("id")).agg(F.collect_set("window").alias("repeats"))
+    whole = owned.where("id > owner").groupBy("id").agg(F.collect_set("d1").alias("copied"))
+    marks = written(dirty.join(whole, "id", "full"), "marks")
+    for table in (rows, owned, places):
         drop_written(table)
-    return _assembled(rows, owned, cut, id_col)
-
-
-def _assembled(rows: DataFrame, owned: DataFrame, cut: DataFrame, id_col: str) -> DataFrame:
-    whole = owned.where("id > owner").select("id", "d1", F.lit(True).alias("copied"))
-    cut = cut.groupBy("id", "d1").agg(F.max("cut").alias("cut"), F.max("cut_kept").alias("cut_kept"))
-    met = rows.join(whole, ["id", "d1"], "left").join(cut, ["id", "d1"], "left")
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return met.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_words"),
-        F.when(F.col("copied"), F.col("n")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copied"), nothing).otherwise(F.coalesce("cut_kept", "kept")).alias("kept_sha256"),
-    )
+    # only texts that lose words meet their marks; the others stay where they are
+    none = F.array().cast("array<bigint>")
+    met = _near(known, marks.select("id")).join(marks, "id", "left").select("id", "text", F.coalesce("repeats", none).alias("repeats"), F.coalesce("copied", none).alias("copied"))
+    others = _near(texts, marks.select("id"), others=True).select("id", "text", none.alias("repeats"), none.alias("copied"))
+    kind = "id long, n_words long, n_removed long, kept_text string"
+    out = met.mapInArrow(_cut_rows, kind).unionByName(others.mapInArrow(_cut_rows, kind))
+    return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).withColumnRenamed("id", id_col)

@@ -188,6 +188,15 @@ def test_substring_repeats_of_many_documents(spark):
     assert found == plain_repeats(rows)
 
 
+def test_texts_without_repeats(spark):
+    passage = [f"p{i}" for i in range(20)]
+    texts = {1: ["a", *passage, "b"], 2: ["c", "c2", *passage, "d"], 3: ["a", *passage, "b"], 4: ["e"], 5: ["f", *passage[:13], "g", *passage[5:]]}
+    rows = [(i, "  ".join(t) + "\n") for i, t in texts.items()] + [(None, " ".join(texts[1])), (6, None), (4, "h i")]
+    found = sorted(((r["doc_id"], r["kept_text"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    plain = [(1, " ".join(texts[1])), (2, "c c2 d"), (3, ""), (4, "e"), (5, "f g"), (None, " ".join(texts[1])), (6, ""), (4, "h i")]
+    assert found == sorted(plain, key=str)
+
+
 # ---- shards and fingerprints --------------------------------------------------------------------------------------
 
 
