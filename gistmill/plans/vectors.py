@@ -186,4 +186,4 @@ def _(spark, sf_dir):
     rows, every = content(spark, sf_dir), sents(spark, sf_dir)
     counted = tfidf.tf(rows, "docset")
     concepts = selection.concept_weights(selection.incidence(rows), tfidf.weights(counted, tfidf.idf(counted, "docset")))
-    return selection.ilp_summary(every, settled_table(selection.incidence(rows)), settled_table(concepts), most_nodes=300)
+    return selection.ilp_summary(every, settled_table(selection.incidence(rows)), settled_table(concepts))

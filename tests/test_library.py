@@ -196,3 +196,12 @@ def test_readers_and_writers(spark, tmp_path):
     assert files.read_split_dataset(spark, str(tmp_path / "ds")).where("split = 'train'").count() == 1
     files.write_generations(spark.createDataFrame([("i", ["a foo] b"])], "input string, predictions array<string>"), str(tmp_path / "gen"))
     assert spark.read.json(str(tmp_path / "gen")).first()["predictions"] == ["a b"]
+
+
+def test_ilp_query_searches_as_far_as_the_operator(spark, monkeypatch):
+    from gistmill.plans import registry
+
+    given = []
+    monkeypatch.setattr(selection, "ilp_summary", lambda *a, **named: given.append((len(a), named)) or spark.range(1))
+    registry.queries()["ilp_summary"](spark, "/root/testdata/sf0.001")
+    assert given == [(3, {})]
