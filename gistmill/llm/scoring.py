@@ -1,336 +1,269 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-The model is a tree of byte contexts up to DEPTH bytes, each holding the eight binary decisions of the next byte as 255
-nodes. Counts come from every training text. A context is kept while it holds at least 1/SHARE of all training bytes, so
-at most SHARE contexts exist at each depth whatever the corpus; what falls below a kept context but in none of its kept
-extensions counts as one more extension, so the mixture stays a proper one. At each node the Krichevsky-Trofimov estimate of
-its own counts is mixed with the product of its extensions' weighted estimates, half and half, at all depths. The finished
-tree is an automaton over kept contexts with one code length for each context and byte; texts are cut into lanes that walk
-it in lock-step.
-
-The base score needs each token's count in training. Rows are dealt into chunks; each chunk asks once for each of its
-distinct tokens, so a token of every text is asked for once a chunk and no key is hot, and the answers meet the chunk's texts.
+The tree holds every context of training up to trees.DEPTH bytes, whatever its count, so it grows with the corpus. Texts are
+read once and dealt, where they lie, into chunks; a chunk asks for each of its distinct grams (a context and the byte after
+it) and for each distinct word once, with its counts in training. Asks are packed into buckets by hash, grams by the nearest
+bytes of their contexts, so that a bucket's grams make up whole subtrees. A bucket's asks are added up as they stream by, its
+subtrees are weighted, and what remains above them (contexts of two bytes or fewer) is a table of bounded size. The same
+asks then meet the finished model, bucket by bucket, and the answers meet the chunk's texts. No key has more rows than there
+are chunks, and a task holds a bucket's model or a chunk, never all of either.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_written, pick, ship, text_bytes, written
+from . import trees
+from .common import Words, blocks, drop_written, pick, ship, splitmix, text_bytes, written
 from .quality import bucket_of
 
-#: Bytes of the longest context, and the most contexts kept at a depth.
-DEPTH, SHARE = 5, 65_536
-#: The byte, in no UTF-8 text, that stands before a text and ends it; and the token that ends a text, which no word equals.
-END, END_TOKEN = 0xFF, b" "
-_LANE = 256
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-# ---- counting -----------------------------------------------------------------------------------------------------
-
-
-def _padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts, each with DEPTH end bytes before it and one after it; and where each text's first byte is."""
-    texts = len(offsets) - 1
-    first = offsets[:-1] + (np.arange(texts) + 1) * DEPTH + np.arange(texts)
-    out = np.full(len(raw) + texts * (DEPTH + 1), END, np.uint8)
-    place = np.arange(len(raw)) + np.repeat(first - offsets[:-1], np.diff(offsets))
-    out[place] = _LOWER[raw]
-    return out, first
-
-
-def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of DEPTH bytes with the byte that follows, as integers, and how often each occurs."""
-    texts, first = _padded(raw, offsets)
-    n = len(texts) - DEPTH
-    key = np.zeros(n, np.uint64)
-    for j in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | texts[j : j + n]
-    starts = first - DEPTH
-    keep = np.ones(n, bool)
-    for back in range(1, DEPTH + 1):  # grams that run from one text into the next
-        at = starts[1:] - back
-        keep[at[at >= 0]] = False
-    return np.unique(key[keep], return_counts=True)
-
-
-class GramTable:
-    """Adds up grams of a task in memory, and gives them back when they are many."""
-
-    def __init__(self, most: int = 1_500_000):
-        self.most, self.parts, self.held = most, [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.held += len(keys)
-        if self.held > self.most:
-            self._merge()
-
-    def _merge(self) -> None:
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([c for _, c in self.parts])).astype(np.int64)
-        self.parts, self.held = [(keys, counts)], len(keys)
-
-    def drain(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if self.parts and self.held > least:
-            self._merge()
-            if self.held > least:
-                (keys, counts), self.parts, self.held = self.parts[0], [], 0
-                for a in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000].view(np.int64)), pa.array(counts[a : a + 200_000], pa.int64())], names=["gram", "n"])
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = GramTable()
-    for batch in batches:
-        for _, _, raw, offsets in blocks(batch, "text"):
-            held.add(*gram_counts(raw, offsets))
-            yield from held.drain(held.most)
-    yield from held.drain()
+#: Kinds of packed rows: texts, asks for grams, asks for words; of a model's rows also nodes of the top and totals of words.
+TEXTS, GRAMS, WORDS, NODES, TOTALS = range(5)
+#: Grams that are weighted at once, and asks that are added up at once.
+_SLICE, _HELD = 200_000, 2_000_000
+_PACKED = "chunk long, kind int, bucket int, keys binary, counts binary"
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
 
+# ---- chunks and what they ask for ---------------------------------------------------------------------------------
 
-# ---- the tree -----------------------------------------------------------------------------------------------------
 
+def _packed_texts(batch: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue()
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by eight."""
-    shift = np.zeros_like(x)
-    for i in range(8):
-        shift += np.log(x + i)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
+def _asked(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values with their counts among those of training, 0 for others."""
+    keys, counts = np.unique(values[training], return_counts=True)
+    others = np.unique(values[~training])
+    return trees.merged([(keys, counts), (others, np.zeros(len(others), np.int64))])
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 nodes (heap order) of each row of 256 symbol counts."""
-    zeros, ones = [], []
-    for level in range(8):
-        split = counts.reshape(len(counts), 1 << level, 2, -1).sum(3)
-        zeros.append(split[:, :, 0]), ones.append(split[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
 
+def asks_of(raw: np.ndarray, offsets: np.ndarray, training: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The distinct grams and words of a run of texts, with their counts in those texts that teach."""
+    words = Words(raw, offsets, lower=True)
+    hashes = words.hash if len(raw) else np.zeros(0, np.uint64)
+    return {GRAMS: _asked(trees.gram_keys(raw, offsets), np.repeat(training, np.diff(offsets) + 1)), WORDS: _asked(hashes, training[words.text_of])}
 
-_HALVES, _ONES = (_log_gamma(np.arange(1 << 14) + x) for x in (0.5, 1.0))
 
+def _buckets_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = splitmix(trees.subtree_of(keys)) if kind == GRAMS else keys
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-def _tabled(counts: np.ndarray, plus: float, table: np.ndarray) -> np.ndarray:
-    out = table[np.minimum(counts, len(table) - 1).astype(np.int32)]
-    large = counts >= len(table)
-    if large.any():
-        out[large] = _log_gamma(counts[large] + plus)
+
+def _ask_rows(chunk: int, held: dict[int, list], buckets: int) -> list[tuple]:
+    out = []
+    for kind, parts in held.items():
+        keys, counts = trees.merged(parts)
+        bucket = _buckets_of(kind, keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts = keys[order], counts[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out += [(chunk, kind, b, trees.pack(keys[edge[b] : edge[b + 1]]), trees.pack(counts[edge[b] : edge[b + 1]])) for b in np.flatnonzero(np.diff(edge)).tolist()]
     return out
 
 
-def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov estimate of a sequence with these counts."""
-    return _tabled(zeros, 0.5, _HALVES) + _tabled(ones, 0.5, _HALVES) - _tabled(zeros + ones, 1.0, _ONES) - np.log(np.pi)
-
-
-class ContextTree:
-    """Kept contexts, the automaton over them, and log10 of each byte's probability in each context."""
-
-    def __init__(self, contexts: list[bytes], symbols: list[tuple[int, int, int]]):
-        """contexts by length, the empty one first and each one's suffixes among them; symbols: (context's index, byte, count)."""
-        self.contexts = contexts
-        index = {c: i for i, c in enumerate(contexts)}
-        n = len(contexts)
-        counts = np.zeros((n, 256), np.float32)
-        if symbols:
-            at, byte, times = np.array(symbols, np.int64).T
-            counts[at, byte] = times
-        parent = np.array([0, *(index[c[1:]] for c in contexts[1:])], np.int64)
-        depth = np.array([len(c) for c in contexts])
-        self.log10 = self._weigh(counts, parent, depth)
-        self.step = np.zeros((n, 256), np.int32)
-        longer = [[] for _ in range(n)]
-        for i, c in enumerate(contexts):
-            if c:
-                longer[index[c[:-1]]].append((c[-1], i))
-        for d in range(int(depth.max()) + 1):  # where a context has no kept extension by a byte, it goes where its suffix goes
-            rows = np.flatnonzero(depth == d)
-            if d:
-                self.step[rows] = self.step[parent[rows]]
-            for i in rows:
-                for byte, j in longer[i]:
-                    self.step[i, byte] = j
-
-    @staticmethod
-    def _weigh(counts: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        n = len(counts)
-        rest = counts.copy()
-        for i in range(0, n, 4096):
-            rows = np.arange(max(i, 1), min(i + 4096, n))
-            np.subtract.at(rest, parent[rows], counts[rows])
-        np.maximum(rest, 0, out=rest)
-        below = np.zeros((n, 255))  # log of the product of the extensions' weighted estimates
-        own_share = np.zeros((n, 255), np.float32)
-        for d in range(int(depth.max()), -1, -1):
-            for rows in np.array_split(np.flatnonzero(depth == d), max(1, int((depth == d).sum()) // 2048)):
-                below[rows] += _kt(*_decisions(rest[rows].astype(float)))
-                own = _kt(*_decisions(counts[rows].astype(float)))
-                weighted = np.logaddexp(own, below[rows]) - np.log(2)
-                own_share[rows] = np.exp(own - np.log(2) - weighted)
-                if d:
-                    np.add.at(below, parent[rows], weighted)
-        del below
-        out = np.zeros((n, 256), np.float32)
-        for d in range(int(depth.max()), -1, -1):
-            for rows in np.array_split(np.flatnonzero(depth == d), max(1, int((depth == d).sum()) // 2048)):
-                zeros, ones = _decisions(rest[rows].astype(float))
-                one = (ones + 0.5) / (zeros + ones + 1)
-                at = rows
-                for _ in range(d + 1):
-                    zeros, ones = _decisions(counts[at].astype(float))
-                    one = own_share[at] * ((ones + 0.5) / (zeros + ones + 1)) + (1 - own_share[at]) * one
-                    at = parent[at]
-                total = np.zeros((len(rows), 1))
-                first = 0
-                for level in range(8):
-                    p = one[:, first : first + (1 << level)]
-                    total = (np.stack([np.log10(1 - p), np.log10(p)], 2) + total[:, :, None]).reshape(len(rows), -1)
-                    first += 1 << level
-                out[rows] = total
-        return out
-
-    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text with its end, lower-cased."""
-        texts, first = _padded(raw, offsets)
-        size = np.diff(offsets) + 1  # with the end
-        lanes = -(-size // _LANE)
-        of = np.repeat(np.arange(len(size)), lanes)
-        number = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = first[of] + number * _LANE
-        left = np.minimum(size[of] - number * _LANE, _LANE)
-        order = np.argsort(-left, kind="stable")
-        of, begin, left = of[order], begin[order], left[order]
-        state = np.full(len(of), 0, np.int64)
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        for j in range(DEPTH, 0, -1):
-            state = step[state * 256 + texts[begin - j]].astype(np.int64)
-        sums = np.zeros(len(of))
-        alive = np.searchsorted(-left, -np.arange(_LANE), "left")
-        for j in range(int(left.max(initial=0))):
-            n = alive[j]
-            at = state[:n] * 256 + texts[begin[:n] + j]
-            sums[:n] += log10[at]
-            state[:n] = step[at]
-        return np.bincount(of, weights=sums, minlength=len(size))
-
-
-def fit_tree(training: DataFrame) -> ContextTree:
-    """The tree of all rows' texts (column text, bytes). Without rows it knows nothing: every decision is one half."""
-    grams = written(training.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // SHARE))
-    contexts, symbols = [b""], []
-    for d in range(DEPTH + 1):
-        mask = (1 << (8 * (d + 1))) - 1
-        short = grams.select(F.col("gram").bitwiseAND(mask).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        short = short.withColumn("context", F.shiftright("gram", 8))
-        if d:
-            kept = short.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("context")
-            short = short.join(F.broadcast(kept), "context")  # at most SHARE contexts
-        found = short.select("context", F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "n").toArrow()
-        context, byte, n = (found.column(i).to_numpy() for i in range(3))
-        names, at = np.unique(context, return_inverse=True)
-        first = 0 if d == 0 else len(contexts)
-        if d:
-            contexts += [int(x).to_bytes(d, "big") for x in names]
-        symbols += zip((at + first).tolist(), byte.tolist(), n.tolist(), strict=True)
-    drop_written(grams)
-    return ContextTree(contexts, symbols)
-
-
-# ---- tokens -------------------------------------------------------------------------------------------------------
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words, A-Z lower-cased, and the end."""
-    return [*text.lower().split(), END_TOKEN]
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def give() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
-        held.clear()
-        return batch
+def _deal(chunk_bytes: int, buckets: int):
+    """Texts (id, held_out, text) to packed texts and asks. Chunks are numbered by partition, so a task run again gives the same."""
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(tokens_of(text))
-            if len(held) > 200_000:
-                yield give()
-    yield give()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[int, list] = {GRAMS: [], WORDS: []}
+        for batch in batches:
+            for a, b, raw, offsets in blocks(batch, "text"):
+                part = batch.slice(a, b - a)
+                yield _batch([(chunk, TEXTS, None, _packed_texts(pa.RecordBatch.from_arrays([pa.concat_arrays([x]) for x in part.columns], schema=part.schema)), None)], _PACKED)
+                teaches = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for kind, asked in asks_of(raw, offsets, teaches).items():
+                    held[kind].append(asked)
+                size += len(raw)
+                if size >= chunk_bytes:
+                    yield _batch(_ask_rows(chunk, held, buckets), _PACKED)
+                    chunk, size, held = chunk + 1, 0, {GRAMS: [], WORDS: []}
+        if held[GRAMS]:
+            yield _batch(_ask_rows(chunk, held, buckets), _PACKED)
 
+    return run
 
-def count_tokens(training: DataFrame) -> DataFrame:
-    """token (bytes) and n of all rows' texts (column text, bytes)."""
-    return training.select("text").mapInArrow(_count_tokens, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
+# ---- the model ----------------------------------------------------------------------------------------------------
 
-# ---- scores -------------------------------------------------------------------------------------------------------
+_MODEL = "kind int, bucket int, keys binary, counts binary"
 
 
-def _tokens_of_chunk(key: tuple, texts: pa.Table) -> pa.Table:
-    found: set[bytes] = set()
-    for text in texts.column("text").to_pylist():
-        found.update(tokens_of(text))
-    return pa.table({"chunk": pa.array([key[0].as_py()] * len(found), pa.int64()), "token": pa.array(list(found), pa.binary())})
+def _weighed(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """Rows of a bucket's subtrees: grams with their decisions' probabilities, and the nodes of their roots."""
+    subtree = trees.subtree_of(keys)
+    at = 0
+    while at < len(keys):
+        end = int(np.searchsorted(subtree, subtree[min(at + _SLICE, len(keys)) - 1], "right"))
+        made = trees.Subtrees(keys[at:end], counts[at:end])
+        yield GRAMS, bucket, trees.pack(keys[at:end]), made.ones.astype(np.float32).tobytes()
+        roots = [x.astype(np.int64) for x in made.roots[:4]]
+        # nodes of one parent and place add up
+        where, row = np.unique((roots[0] >> 8) * 255 + roots[1], return_inverse=True)
+        sums = [np.bincount(row, weights=x, minlength=len(where)) for x in (roots[2], roots[3], made.roots[4])]
+        yield NODES, None, where.tobytes(), np.concatenate(sums).tobytes()
+        at = end
 
 
-def _scores_of_chunk(tree):
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
-        n_tokens, n_known, base, scores = [], [], [], [np.zeros(0)]
-        for batch in texts.combine_chunks().to_batches():
-            for a, b, raw, offsets in blocks(batch, "text"):
-                scores.append(tree.value.score(raw, offsets))
-                for text in batch.column(batch.schema.get_field_index("text")).slice(a, b - a).to_pylist():
-                    found = Counter(tokens_of(text))
-                    times = np.fromiter(found.values(), np.int64, len(found))
-                    counted = np.array([known.get(token, 0) for token in found], np.int64)
-                    n_tokens.append(int(times.sum())), n_known.append(int(times[counted > 0].sum()))
-                    base.append(float(times @ np.log10(counted + 0.1)))
-        return pa.table(
-            {"id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()), "score": np.concatenate(scores)}
-        )
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asks sorted by kind and bucket to the model's rows."""
+    key, parts, held = None, [], 0
+
+    def finished() -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        keys, counts = trees.merged(parts)
+        if key[0] == GRAMS:
+            for row in _weighed(key[1], keys, counts):
+                yield _batch([row], _MODEL)
+        else:
+            some = counts > 0
+            yield _batch([(WORDS, key[1], trees.pack(keys[some]), trees.pack(counts[some])), (TOTALS, None, None, np.array([some.sum(), counts.sum()], np.int64).tobytes())], _MODEL)
+
+    for batch in batches:
+        for kind, bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != (kind, bucket):
+                yield from finished()
+                key, parts, held = (kind, bucket), [], 0
+            parts.append((trees.unpack(k), trees.unpack(c, np.int64)))
+            held += len(parts[-1][0])
+            if held > _HELD:
+                parts = [trees.merged(parts)]
+                held = len(parts[0][0]) // 2
+    yield from finished()
+
+
+def _sum_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows of a task added up to one: at most 65,536 contexts of two bytes with 255 nodes each."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            where, sums = np.frombuffer(k, np.int64), np.frombuffer(c, float).reshape(3, -1)
+            if held:
+                where, row = np.unique(np.append(held["at"], where), return_inverse=True)
+                both = np.concatenate([held["sums"], sums], 1)
+                sums = np.stack([np.bincount(row, weights=x, minlength=len(where)) for x in both])
+            held = {"at": where, "sums": sums}
+    if held:
+        yield _batch([(held["at"].tobytes(), held["sums"].tobytes())], "keys binary, counts binary")
+
+
+def _top(model: DataFrame) -> trees.Top:
+    nodes = model.where(f"kind = {NODES}").select("keys", "counts")
+    for parts in (32, 1):
+        nodes = nodes.coalesce(parts).mapInArrow(_sum_nodes, "keys binary, counts binary")
+    found = nodes.first()
+    where, sums = (np.frombuffer(found[0], np.int64), np.frombuffer(found[1], float).reshape(3, -1)) if found else (np.zeros(0, np.int64), np.zeros((3, 0)))
+    return trees.Top(where // 255, where % 255, *sums)
+
+
+# ---- answers and scores -------------------------------------------------------------------------------------------
+
+
+def _answer(top):
+    """The model's rows of a bucket, then asks for it: (chunk, kind, keys, values), log10 of grams' probabilities and counts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, model = None, [], None
+        for batch in batches:
+            out = []
+            for kind, bucket, chunk, k, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if key != (kind, bucket):
+                    key, known, model = (kind, bucket), [], None
+                keys = trees.unpack(k)
+                if chunk < 0:
+                    known.append((keys, top.value.log10(keys, np.frombuffer(c, np.float32).reshape(-1, 8)) if kind == GRAMS else trees.unpack(c, np.int64)))
+                    continue
+                if model is None:
+                    model = tuple(np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    order = np.argsort(model[0], kind="stable")
+                    model = model[0][order], model[1][order]
+                at = np.searchsorted(model[0], keys)
+                if kind == GRAMS:
+                    out.append((chunk, kind, k, model[1][at].astype(np.float32).tobytes()))
+                else:  # words of held-out texts may be unknown
+                    there = at < len(model[0])
+                    there[there] = model[0][at[there]] == keys[there]
+                    values = np.zeros(len(keys), np.int64)
+                    values[there] = model[1][at[there]]
+                    out.append((chunk, kind, k, trees.pack(values)))
+            if out:
+                yield _batch(out, "chunk long, kind int, keys binary, counts binary")
 
     return run
 
 
-def score(docs: DataFrame, folds: int = 10, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scores_of_chunk(key: tuple, packed: pa.Table, answers: pa.Table) -> pa.Table:
+    found: dict[int, list] = {GRAMS: [], WORDS: []}
+    for kind, k, v in zip(*(answers.column(x).to_pylist() for x in ("kind", "keys", "counts")), strict=True):
+        found[kind].append((trees.unpack(k), np.frombuffer(v, np.float32) if kind == GRAMS else trees.unpack(v, np.int64)))
+    table = {kind: trees.Lookup(*(np.concatenate(x) for x in zip(*parts, strict=True))) for kind, parts in found.items() if parts}
+    rows = []
+    for data in packed.column("keys").to_pylist():
+        for batch in pa.ipc.open_stream(data):
+            for a, b, raw, offsets in blocks(batch, "text"):
+                part = batch.slice(a, b - a)
+                sums = lambda values, bounds: np.diff(np.append(0.0, np.cumsum(values))[bounds])
+                score = sums(table[GRAMS](trees.gram_keys(raw, offsets)).astype(float), offsets + np.arange(len(offsets)))
+                words = Words(raw, offsets, lower=True)
+                counts = table[WORDS](words.hash) if len(words.start) else np.zeros(0, np.int64)
+                base = sums(np.log10(counts + 0.1), words.first)
+                known = sums((counts > 0).astype(float), words.first).astype(np.int64)
+                rows.append((part.column(0), part.column(1), np.diff(words.first), known, base, score))
+    cols = list(zip(*rows, strict=True))
+    flat = [pa.chunked_array(x) for x in cols[:2]] + [pa.array(np.concatenate(x)) for x in cols[2:]]
+    return pa.table(dict(zip(("id", "held_out", "n_words", "n_known", "base", "score"), flat, strict=True)))
+
+
+def score(docs: DataFrame, folds: int = 10, chunk_bytes: int = 32 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base score and tree score of every text, learned from the texts outside the held-out fold.
 
     Returns id_col, held_out, n_tokens (words and the end), n_known, train_tokens, base_score and score, both log10 of
     probabilities; score is that of the text's bytes, A-Z lower-cased, and its end. A null text is empty: its only token is
     the end. Null ids count as the empty text for the fold; repeated rows each give a row and each teach; with nothing to
-    learn from, train_tokens is 0 and the tree gives every decision one half; an empty table gives no rows. The code length
-    of each byte of a text of any length is looked up, never cut short. Rows are dealt evenly into chunks of about
-    chunk_bytes, whatever their ids; a longer text makes its chunk longer.
+    learn from, train_tokens is 0 and the tree gives every decision one half; an empty table gives no rows; other columns,
+    even of clashing names, do no harm. The code length of each byte of a text of any length is looked up, never cut short;
+    a text longer than chunk_bytes makes its chunk longer. Words are told apart by 64-bit hashes. There are as many buckets
+    as bucket_bytes of text, 4096 at most, since a bucket's model grows more slowly than the corpus.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_bytes().alias("text"), (bucket_of(F.col("id"), folds) == 0).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    vocabulary = written(count_tokens(training), "tokens")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = spark.sparkContext.broadcast(fit_tree(training))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-total // chunk_bytes)))).cast("long")
-    dealt = rows.select(chunk.alias("chunk"), "id", "held_out", "text")
-    asked = dealt.groupBy("chunk").applyInArrow(_tokens_of_chunk, "chunk long, token binary")
-    counts = asked.join(vocabulary, "token").select("chunk", "token", "n")
-    found = dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scores_of_chunk(tree), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), (bucket_of(F.col("id"), folds) == 0).alias("held_out"), text_bytes().alias("text"))
+    total, teaching = rows.agg(F.sum(F.length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
+    chunks, buckets = max(1, -(-(total or 0) // chunk_bytes)), min(4096, max(1, -(-(total or 0) // bucket_bytes)))
+    dealt = written(rows.mapInArrow(_deal(chunk_bytes, buckets), _PACKED), "dealt")
+    asks = dealt.where(f"kind <> {TEXTS}")
+    by_bucket = lambda df, *more: df.repartition(2 * buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket", *more)
+    model = written(by_bucket(asks.select("kind", "bucket", "keys", "counts")).mapInArrow(_learn, _MODEL), "model")
+    top = spark.sparkContext.broadcast(_top(model))  # 65,793 contexts at most
+    distinct, words = (sum(x) for x in zip((0, 0), *(np.frombuffer(r[0], np.int64).tolist() for r in model.where(f"kind = {TOTALS}").select("counts").collect()), strict=True))  # a row a bucket
+    learned = model.where(f"kind in ({GRAMS}, {WORDS})").select("kind", "bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "counts")
+    met = learned.unionByName(asks.select("kind", "bucket", "chunk", "keys", F.lit(None).cast("binary").alias("counts")))
+    answers = by_bucket(met, "chunk").mapInArrow(_answer(top), "chunk long, kind int, keys binary, counts binary")
+    answers = answers.repartition(chunks, "chunk")
+    texts = dealt.where(f"kind = {TEXTS}").select("chunk", "keys").repartition(chunks, "chunk")
+    found = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores_of_chunk, "id long, held_out boolean, n_words long, n_known long, base double, score double")
+    # each text has one end more, a token that training has met once a text
+    tokens, distinct, ends = words + (teaching or 0), distinct + bool(teaching), teaching or 0
     unit = float(np.log10(tokens + 0.1 * (distinct + 1)))
-    base = F.col("base") - F.col("n_tokens") * F.lit(unit)
-    return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    n_tokens = F.col("n_words") + 1
+    base = F.col("base") + F.lit(float(np.log10(ends + 0.1))) - n_tokens * F.lit(unit)
+    return found.select(F.col("id").alias(id_col), "held_out", n_tokens.alias("n_tokens"), (F.col("n_known") + int(bool(ends))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

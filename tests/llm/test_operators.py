@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, decontamination, fingerprints, jaccard, pii, quality, queries, scoring, sharding, substrings, toxicity
+from gistmill.llm import bpe, decontamination, fingerprints, jaccard, pii, quality, queries, scoring, sharding, substrings, toxicity, trees
 from gistmill.llm.common import Words, grams
 
 from .helpers import SCHEMA, documents, empty, pairs
@@ -312,14 +312,18 @@ def test_tree_arrays_walk_as_trees():
     assert np.allclose(1 / (1 + np.exp(-total)), trees.score(x)) and ((trees.score(x) > 0.5) == y).mean() > 0.9
 
 
+def tokens_of(text):
+    return [*text.lower().split(), b" "]
+
+
 def test_base_scores(spark, docs, rows):
     found = {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in scoring.score(docs, chunk_bytes=50_000).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    count = collections.Counter(w for i, t in rows if not held(i) for w in scoring.tokens_of((t or "").encode()))
+    count = collections.Counter(w for i, t in rows if not held(i) for w in tokens_of((t or "").encode()))
     n, v = sum(count.values()), len(count)
     plain = set()
     for i, t in rows:
-        words = scoring.tokens_of((t or "").encode())
+        words = tokens_of((t or "").encode())
         plain.add((i, len(words), sum(count[w] > 0 for w in words), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), 6)))
     assert {x[:3] for x in found} == {x[:3] for x in plain}
     by = {x[:3]: x[3] for x in found}
@@ -327,29 +331,76 @@ def test_base_scores(spark, docs, rows):
     assert scoring.score(empty(spark)).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_walks_as_plain_code():
-    texts = [b"abracadabra abracadabra", b"abc", b""]
-    keys, n = scoring.gram_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]).astype(np.int64))
-    assert n.sum() == sum(len(t) + 1 for t in texts)
-    symbols, contexts = collections.Counter(), {b""}
-    for key, times in zip(keys.tolist(), n.tolist(), strict=True):
-        gram = key.to_bytes(scoring.DEPTH + 1, "big")
-        for d in range(scoring.DEPTH + 1):
-            context = gram[scoring.DEPTH - d : scoring.DEPTH]
-            contexts.add(context)
-            symbols[context, gram[-1]] += times
-    contexts = sorted(contexts, key=lambda c: (len(c), c))
-    at = {c: i for i, c in enumerate(contexts)}
-    tree = scoring.ContextTree(contexts, [(at[c], b, t) for (c, b), t in symbols.items()])
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(1), 1, atol=1e-5)
-    for text in (b"abracadabra", b"", b"zz top" * 200):
-        total, history = 0.0, bytes([255]) * scoring.DEPTH
-        for byte in text + b"\xff":
-            state = max((c for c in contexts if history.endswith(c)), key=len)
-            total += float(tree.log10[at[state], byte])
-            history = history[1:] + bytes([byte])
-        got = tree.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        assert abs(total - got[0]) < 1e-3 * max(1, abs(total))
+def plain_tree_scores(training, texts):
+    """log10 of each text's probability, node by node."""
+    depth, end = trees.DEPTH, bytes([trees.END])
+    counts, longer = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for text in training:
+        whole = end * depth + text.lower() + end
+        for i in range(depth, len(whole)):
+            for d in range(depth + 1):
+                context = whole[i - d : i]
+                if d:
+                    longer[context[1:]].add(context)
+                for k in range(8):
+                    counts[context, k, whole[i] >> (8 - k)][whole[i] >> (7 - k) & 1] += 1
+    weighted = {}
+
+    def kt(context, k, head):
+        zeros, ones = counts.get((context, k, head), (0, 0))
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    def log_weighted(context, k, head):
+        key = context, k, head
+        if key not in counts:
+            return 0.0
+        if key not in weighted:
+            own = kt(*key)
+            weighted[key] = own if len(context) == depth else np.logaddexp(own, sum(log_weighted(x, k, head) for x in longer[context])) - math.log(2)
+        return weighted[key]
+
+    def one(history, d, k, head):
+        key = history[len(history) - d :], k, head
+        zeros, ones = counts.get(key, (0, 0))
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if d == depth or (history[len(history) - d - 1 :], k, head) not in counts:
+            return own
+        share = math.exp(kt(*key) - math.log(2) - log_weighted(*key))
+        return share * own + (1 - share) * one(history, d + 1, k, head)
+
+    out = []
+    for text in texts:
+        whole, total = end * depth + text.lower() + end, 0.0
+        for i in range(depth, len(whole)):
+            for k in range(8):
+                p = one(whole[i - depth : i], 0, k, whole[i] >> (8 - k))
+                total += math.log10(p if whole[i] >> (7 - k) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_tree_against_plain_code(spark):
+    random = np.random.default_rng(9)
+    vocab = ["abra", "cadabra", "Über", "the", "them", "zz", "\n"]
+    rows = [(i, " ".join(random.choice(vocab, int(random.integers(0, 25))))) for i in range(60)] + [(60, None), (61, "ÿÿ unseen"), (7, "repeated id")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = [(t or "").encode() for _, t in rows]
+    plain = plain_tree_scores([t for t, (i, _) in zip(texts, rows, strict=True) if not held(i)], texts)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = scoring.score(docs, chunk_bytes=300, bucket_bytes=200).collect()  # many chunks and buckets
+    pairs_ = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in found), key=lambda x: (x[0], -x[1], x[2]))
+    wanted = sorted(((i, len((t or "").split()) + 1, s) for (i, t), s in zip(rows, plain, strict=True)), key=lambda x: (x[0], -x[1], x[2]))
+    assert [x[:2] for x in pairs_] == [x[:2] for x in wanted]
+    assert np.allclose([x[2] for x in pairs_], [x[2] for x in wanted], rtol=1e-5, atol=1e-4)
+    nothing = scoring.score(docs.where("doc_id = 61"), folds=1).first()  # all held out
+    assert nothing["train_tokens"] == 0 and abs(nothing["score"] + 8 * math.log10(2) * (len("ÿÿ unseen".encode()) + 1)) < 1e-3
+
+
+def test_packed_values_and_lookups():
+    random = np.random.default_rng(2)
+    keys = np.unique(random.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert (trees.unpack(trees.pack(keys)) == keys).all() and len(trees.unpack(trees.pack(keys[:0]))) == 0
+    assert (trees.Lookup(keys, np.arange(len(keys)))(keys[::-1]) == np.arange(len(keys))[::-1]).all()
 
 
 # ---- leaks --------------------------------------------------------------------------------------------------------
