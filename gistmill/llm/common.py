@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 BLOCK_BYTES = 2 << 20
+#: Bytes whose words are hashed at once.
+_HASHED_BYTES = 1 << 20
 #: Parts into which spread_join deals the rows of one key.
 SALTS = 256
 
@@ -123,7 +125,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + (1 << 16))
+        size = max(n, _HASHED_BYTES + (1 << 16))
         inverse = pow(_MULTIPLIER, -1, 1 << 64)
         for key, base in (("up", _MULTIPLIER), ("down", inverse)):
             steps = np.full(size, base, np.uint64)
@@ -155,11 +157,19 @@ class Words:
         self.first = np.searchsorted(self.start, offsets, "left")
         self.first[-1] = len(self.start)
         self.text_of = np.repeat(np.arange(texts), np.diff(self.first))
-        if hashes:
-            up, down = _power_tables(n)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((_LOWER_VALUES if lower else _BYTE_VALUES)[raw] * up, dtype=np.uint64, out=sums[1:])
-            self.hash = splitmix((sums[self.end] - sums[self.start]) * down[self.start])
+        if hashes:  # a word's hash hangs on its bytes only, so any run of whole words can be hashed apart
+            self.hash = np.empty(len(self.start), np.uint64)
+            values, at = _LOWER_VALUES if lower else _BYTE_VALUES, 0
+            while at < len(self.start):
+                low = int(self.start[at])
+                to = max(at + 1, int(np.searchsorted(self.end, low + _HASHED_BYTES, "right")))
+                high = int(self.end[to - 1])
+                up, down = _power_tables(high - low)
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(values[raw[low:high]] * up, dtype=np.uint64, out=sums[1:])
+                start, end = self.start[at:to] - low, self.end[at:to] - low
+                self.hash[at:to] = splitmix((sums[end] - sums[start]) * down[start])
+                at = to
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -55,11 +55,28 @@ def _asked(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nda
     return trees.merged([(keys, counts), (others, np.zeros(len(others), np.int64))])
 
 
-def asks_of(raw: np.ndarray, offsets: np.ndarray, training: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The distinct grams and words of a run of texts, with their counts in those texts that teach."""
-    words = Words(raw, offsets, lower=True)
-    hashes = words.hash if len(raw) else np.zeros(0, np.uint64)
-    return {GRAMS: _asked(trees.gram_keys(raw, offsets), np.repeat(training, np.diff(offsets) + 1)), WORDS: _asked(hashes, training[words.text_of])}
+class Asks:
+    """Distinct grams and words of a chunk, added up as its texts come by, with their counts in those texts that teach."""
+
+    def __init__(self):
+        self.parts: dict[int, list] = {GRAMS: [], WORDS: []}
+        self.held = 0
+
+    def add(self, raw: np.ndarray, offsets: np.ndarray, training: np.ndarray) -> None:
+        teaches, at = np.repeat(training, np.diff(offsets) + 1), 0
+        for keys in trees.gram_pieces(raw, offsets):
+            self._hold(GRAMS, _asked(keys, teaches[at : at + len(keys)]))
+            at += len(keys)
+        if len(raw):
+            words = Words(raw, offsets, lower=True)
+            self._hold(WORDS, _asked(words.hash, training[words.text_of]))
+
+    def _hold(self, kind: int, asked: tuple[np.ndarray, np.ndarray]) -> None:
+        self.parts[kind].append(asked)
+        self.held += len(asked[0])
+        if self.held > _HELD:
+            self.parts = {k: [trees.merged(x)] if x else [] for k, x in self.parts.items()}
+            self.held = sum(len(x[0][0]) for x in self.parts.values() if x) // 2
 
 
 def _buckets_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -67,9 +84,11 @@ def _buckets_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _ask_rows(chunk: int, held: dict[int, list], buckets: int) -> list[tuple]:
+def _ask_rows(chunk: int, asks: Asks, buckets: int) -> list[tuple]:
     out = []
-    for kind, parts in held.items():
+    for kind, parts in asks.parts.items():
+        if not parts:
+            continue
         keys, counts = trees.merged(parts)
         bucket = _buckets_of(kind, keys, buckets)
         order = np.argsort(bucket, kind="stable")
@@ -83,21 +102,18 @@ def _deal(chunk_bytes: int, buckets: int):
     """Texts (id, held_out, text) to packed texts and asks. Chunks are numbered by partition, so a task run again gives the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        held: dict[int, list] = {GRAMS: [], WORDS: []}
+        chunk, size, asks = TaskContext.get().partitionId() << 32, 0, Asks()
         for batch in batches:
             for a, b, raw, offsets in blocks(batch, "text"):
                 part = batch.slice(a, b - a)
                 yield _batch([(chunk, TEXTS, None, _packed_texts(pa.RecordBatch.from_arrays([pa.concat_arrays([x]) for x in part.columns], schema=part.schema)), None)], _PACKED)
-                teaches = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                for kind, asked in asks_of(raw, offsets, teaches).items():
-                    held[kind].append(asked)
+                asks.add(raw, offsets, ~part.column(1).to_numpy(zero_copy_only=False).astype(bool))
                 size += len(raw)
                 if size >= chunk_bytes:
-                    yield _batch(_ask_rows(chunk, held, buckets), _PACKED)
-                    chunk, size, held = chunk + 1, 0, {GRAMS: [], WORDS: []}
-        if held[GRAMS]:
-            yield _batch(_ask_rows(chunk, held, buckets), _PACKED)
+                    yield _batch(_ask_rows(chunk, asks, buckets), _PACKED)
+                    chunk, size, asks = chunk + 1, 0, Asks()
+        if asks.parts[GRAMS]:
+            yield _batch(_ask_rows(chunk, asks, buckets), _PACKED)
 
     return run
 
@@ -221,12 +237,15 @@ def _scores_of_chunk(key: tuple, packed: pa.Table, answers: pa.Table) -> pa.Tabl
         for batch in pa.ipc.open_stream(data):
             for a, b, raw, offsets in blocks(batch, "text"):
                 part = batch.slice(a, b - a)
-                sums = lambda values, bounds: np.diff(np.append(0.0, np.cumsum(values))[bounds])
-                score = sums(table[GRAMS](trees.gram_keys(raw, offsets)).astype(float), offsets + np.arange(len(offsets)))
+                sums = lambda values, bounds: np.diff(np.append(0.0, np.cumsum(values, dtype=float))[np.clip(bounds, 0, len(values))])
+                score, at = np.zeros(b - a), 0
+                for keys in trees.gram_pieces(raw, offsets):
+                    score += sums(table[GRAMS](keys), offsets + np.arange(len(offsets)) - at)
+                    at += len(keys)
                 words = Words(raw, offsets, lower=True)
                 counts = table[WORDS](words.hash) if len(words.start) else np.zeros(0, np.int64)
                 base = sums(np.log10(counts + 0.1), words.first)
-                known = sums((counts > 0).astype(float), words.first).astype(np.int64)
+                known = sums(counts > 0, words.first).astype(np.int64)
                 rows.append((part.column(0), part.column(1), np.diff(words.first), known, base, score))
     cols = list(zip(*rows, strict=True))
     flat = [pa.chunked_array(x) for x in cols[:2]] + [pa.array(np.concatenate(x)) for x in cols[2:]]

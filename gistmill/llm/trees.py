@@ -8,6 +8,8 @@ half, at all depths; a longer context that has not met a decision abstains, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Bytes of the longest context, and of those below which subtrees are made apart.
@@ -17,25 +19,28 @@ END = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LEAST = 1e-9
+#: Grams that are made at once.
+_PIECE = 1 << 20
 
 
-def gram_keys(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The grams of a run of texts, A-Z lower-cased: one for each byte and one for each text's end, in order."""
+def gram_pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The grams of a run of texts, A-Z lower-cased: one for each byte and one for each text's end, in order, piece by piece."""
     texts = len(offsets) - 1
+    if not texts:
+        return
     first = offsets[:-1] + (np.arange(texts) + 1) * DEPTH + np.arange(texts)
     padded = np.full(len(raw) + texts * (DEPTH + 1), END, np.uint8)
-    padded[np.arange(len(raw)) + np.repeat(first - offsets[:-1], np.diff(offsets))] = _LOWER[raw]
-    n = len(padded) - DEPTH
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    keys = padded[DEPTH:].astype(np.uint64)
-    for j in range(1, DEPTH + 1):
-        keys |= padded[DEPTH - j : DEPTH - j + n].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - j))
-    keep = np.ones(n, bool)
-    starts = first[1:] - DEPTH
+    keep = np.ones(len(padded), bool)
     for back in range(1, DEPTH + 1):  # the bytes before a text
-        keep[starts - back] = False
-    return keys[keep]
+        keep[first - back] = False
+    for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist(), strict=True):
+        padded[at : at + b - a] = _LOWER[raw[a:b]]
+    for at in range(DEPTH, len(padded), _PIECE):
+        end = min(at + _PIECE, len(padded))
+        keys = padded[at:end].astype(np.uint64)
+        for j in range(1, DEPTH + 1):
+            keys |= padded[at - j : end - j].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - j))
+        yield keys[keep[at:end]]
 
 
 def subtree_of(keys: np.ndarray) -> np.ndarray:
