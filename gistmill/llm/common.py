@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -68,6 +68,25 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], row: str, how
     return salted.join(met, [*keys, "salt"], how).drop("salt")
 
 
+def tiled(df: DataFrame, key: str, row: str, size: Column, most: int) -> DataFrame:
+    """Rows of each key dealt by `row` into tiles of about `most` by the sum of size, and sent to every pair of tiles: tile, i, j.
+
+    A row of tile t comes once for each pair (i, j), i <= j, of which t is one, so two rows of a key meet in one pair at least
+    and in one only if their tiles differ. A key of one tile is sent once; no task gets more than two tiles of a key at a time.
+    """
+    large = df.groupBy(key).agg(F.ceil(F.sum(size) / most).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = df.join(large, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64(row), F.col("tiles")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return sent.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose tables are written: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

@@ -9,7 +9,8 @@ fewer (small ones) joins by all of them and by the shingles that come first in h
 
 Equal sets are first gathered under their smallest id. Sets that share a block are compared with the block's smallest id;
 only where a block still holds several components are the others compared, and there a finer parity sketch, whose differing
-blocks are a lower bound of the differing elements, decides which pairs are verified. Links are verified on whole sets.
+blocks are a lower bound of the differing elements, decides which pairs are verified. Links are verified on whole sets. As all
+links lie within components, their number is then counted there, over tiles of sets of bounded size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, spread_join, text_bytes, written
+from .common import Words, blocks, drop_written, grams, list_array, pick, release, ship, splitmix, spread_join, text_bytes, tiled, written
 from .graph import components
 
 #: Words of a shingle.
@@ -34,6 +35,8 @@ while BANDS[-1] < 1 << 40:
 _BANDS = np.array(BANDS)
 #: Bits of the table by which most texts are left out before their sets are made again.
 _FILTER_BITS = 22
+#: Pairs of one set that one task verifies; bytes of a tile of sets or sketches.
+STAR, TILE_BYTES = 4096, 4 << 20
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -149,50 +152,98 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[emit]), pa.array(ids[emit])], names=["key", "id"])
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: pairs of a key whose labels differ and whose sizes and sketches allow a link."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose first columns are equal."""
     held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, i, j, tile, id, label, n, sketch) sorted by the first three: pairs whose labels differ and whose sizes and sketches allow a link."""
     out: list[tuple[int, int]] = []
 
-    def compare() -> None:
-        if len({x[2] for x in held}) < 2:
+    def compare(held: list[tuple]) -> Iterator[None]:
+        if len({x[5] for x in held}) < 2:
             return
-        own = sorted(held, key=lambda x: (x[3], x[1]))  # by size
-        ids, labels, sizes = (np.array([x[i] for x in own]) for i in (1, 2, 3))
+        own = sorted(held, key=lambda x: (x[6], x[4]))  # by size
+        tiles, ids, labels, sizes = (np.array([x[i] for x in own]) for i in (3, 4, 5, 6))
+        across = held[0][1] != held[0][2]
         by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        widths = np.array([len(x[4]) for x in own])
+        widths = np.array([len(x[7]) for x in own])
         for w in np.unique(widths):
             rows = np.flatnonzero(widths == w)
-            by_width[int(w)] = rows, np.stack([np.frombuffer(own[i][4], np.uint8) for i in rows])
+            by_width[int(w)] = rows, np.stack([np.frombuffer(own[i][7], np.uint8) for i in rows])
         for i, row in enumerate(own):
-            mine = np.frombuffer(row[4], np.uint8)
+            mine = np.frombuffer(row[7], np.uint8)
             for w, (rows, sketches) in by_width.items():
-                fits = (rows > i) & (sizes[rows] * 4 <= row[3] * 5) & (labels[rows] != row[2])
+                fits = (rows > i) & (sizes[rows] * 4 <= row[6] * 5) & (labels[rows] != row[5])
+                if across:
+                    fits &= tiles[rows] != row[3]
                 if not fits.any():
                     continue
-                other, most = rows[fits], (sizes[rows[fits]] + row[3]) // 9
+                other, most = rows[fits], (sizes[rows[fits]] + row[6]) // 9
                 width = min(w, len(mine))
                 differ = (_folded(sketches[fits], width) != _folded(mine, width)).sum(1)
-                for j in other[differ <= most]:
-                    out.append((min(row[1], int(ids[j])), max(row[1], int(ids[j]))))
+                out.extend((min(row[4], int(ids[j])), max(row[4], int(ids[j]))) for j in other[differ <= most])
+            if len(out) > 50_000:
+                yield
 
     def give() -> pa.RecordBatch:
         pairs = np.array(out, np.int64).reshape(-1, 2)
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if held and held[0][0] != row[0]:
-                compare()
-                held.clear()
-                if len(out) > 50_000:
-                    yield give()
-            held.append(row)
-    compare()
+    for held in _groups(batches, 3):
+        for _ in compare(held):
+            yield give()
     yield give()
 
 
+def count_links(sets: list[np.ndarray], weights: np.ndarray, tiles: np.ndarray | None = None) -> np.ndarray:
+    """For each set, the sum of the weights of those it links with; with tiles, only of sets of another tile."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    size, weight, tile = sizes[order], weights[order], None if tiles is None else tiles[order]
+    _, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    start, last = np.append(0, np.cumsum(size)), np.searchsorted(size, size * 5 // 4, "right")
+    mine, out = np.zeros(int(flat.max(initial=0)) + 1, bool), np.zeros(len(sets), np.int64)
+    for i in range(len(sets)):
+        a, b = i + 1, int(last[i])
+        if a >= b or (tile is not None and (tile[a:b] == tile[i]).all()):
+            continue
+        own = flat[start[i] : start[i + 1]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[flat[start[a] : start[b]]], start[a:b] - start[a], dtype=np.int64)
+        mine[own] = False
+        linked = 100 * shared >= 80 * (size[i] + size[a:b] - shared)
+        if tile is not None:
+            linked &= tile[a:b] != tile[i]
+        out[order[i]] += weight[a:b][linked].sum()
+        out[order[a:b][linked]] += weight[i]
+    return out
+
+
+def _link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (label, i, j, tile, id, copies, elements) sorted by the first three: (id, links) with sets met here."""
+    ids, links = [], []
+    for held in _groups(batches, 3):
+        across = held[0][1] != held[0][2]
+        sets = [np.array(x[6], np.int64).view(np.uint64) for x in held]
+        ids += [x[4] for x in held]
+        links.append(count_links(sets, np.array([x[5] for x in held], np.int64), np.array([x[3] for x in held]) if across else None))
+        if len(ids) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(links))], names=["id", "links"])
+            ids, links = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *links]))], names=["id", "links"])
+
+
 def _member_sets(bits):
     """Sets and fine sketches of the texts whose ids may be wanted."""
 
@@ -212,20 +263,27 @@ def _member_sets(bits):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets link: 100 * intersection >= 80 * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
+    """Pairs (a, b) whose sets link: 100 * intersection >= 80 * union. An `a` of many pairs is dealt to several tasks, with its set in each."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(hot, "a", "left")
+    left = left.select("a", "na", "ea", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")).cast("long"))
+    met = dealt.join(left, ["a", "part"]).join(right, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")).cast("long"))
     return met.where("100 * shared >= 80 * (na + nb - shared)").select("a", "b")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles and component_id (the smallest id reachable by links, itself included) of every row.
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_too: bool = True) -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable by links, itself included) and n_links of every row.
 
     Words are split at ASCII white space and A-Z lower-cased. Null and empty texts have no shingles and link with nothing;
     of a text of fewer than five words all words are its one shingle. Rows of one id are one document of the component;
-    rows of a null id link with nothing and have a null component; an empty table gives none. Shingles are compared by
-    64-bit hashes of their words.
+    rows of a null id link with nothing and have a null component; an empty table gives none; other columns, even of clashing
+    names, do no harm; a text of any length is one set, in memory at once. Shingles are compared by 64-bit hashes of their words.
+
+    n_links is the number of other documents that a row's document links with, copies included (of an id with several texts,
+    that of the text with the most); null for a null id. It is counted from all pairs of distinct sets of a component, tile by
+    tile, and no pair is written. Without links_too that column and its work are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -242,6 +300,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = shared.join(least, "id").select("key", F.col("least").alias("id")).distinct()
     pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(members.join(pivots, "key"), "members")
+    drop_written(shared)
+    release(spark)
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).cast("int")
     taken = members.select(place.alias("place")).distinct().toArrow().column("place").to_numpy()  # a bounded table
@@ -253,19 +313,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     stars = members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = written(_verified(stars, sets), "star-links")
+    release(spark)
     labels = components(links)
     # blocks that hold several components still
     labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     several = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     asked = labelled.join(several, "key").join(sets.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch")
-    crossing = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_pairs, "a long, b long").distinct()
+    asked = tiled(asked, "key", "id", F.length("sketch") + 64, TILE_BYTES).select("key", "i", "j", "tile", "id", "label", "n", "sketch")
+    crossing = asked.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
     more = written(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets), "cross-links")
+    drop_written(members)
+    release(spark)
 
     several_sets = named.join(least, "id").where("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # of one id
     found = components(links.unionByName(more).unionByName(several_sets))  # copies stay out: they take their first one's label
-    copies = spread_join(named, found.withColumnRenamed("node", "first"), ["first"], "id", "left")
-    found = written(copies.groupBy("id").agg(F.min(F.coalesce("label", "first")).alias("label")), "found")
-    for table in (named, shared, members, sets, links, more):
+    counted = [F.min(F.coalesce("label", "first")).alias("label")]
+    if links_too:
+        copies = named.groupBy(F.col("first").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+        grouped = sets.select("id", "elements").join(found.withColumnRenamed("node", "id"), "id").join(copies, "id")
+        grouped = tiled(grouped, "label", "id", F.size("elements") * 8 + 64, TILE_BYTES).select("label", "i", "j", "tile", "id", "copies", "elements")
+        met = grouped.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_link_counts, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        counts = copies.join(met, "id", "left").select(F.col("id").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        found = counts.join(found.withColumnRenamed("node", "first"), "first", "left")
+        counted.append(F.max("n_links").alias("n_links"))
+    else:
+        found = found.withColumnRenamed("node", "first")
+    found = written(spread_join(named, found, ["first"], "id", "left").groupBy("id").agg(*counted), "found")
+    for table in (named, sets, links, more):
         drop_written(table)
-    out = rows.join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    release(spark)
+    out = rows.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"), *(["n_links"] if links_too else []))
+    return out.withColumn("n_links", F.when(F.col(id_col).isNotNull(), F.coalesce("n_links", F.lit(0)))) if links_too else out

@@ -277,8 +277,9 @@ def score(docs: DataFrame, folds: int = 10, chunk_bytes: int = 32 << 20, bucket_
     learned = model.where(f"kind in ({GRAMS}, {WORDS})").select("kind", "bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "counts")
     met = learned.unionByName(asks.select("kind", "bucket", "chunk", "keys", F.lit(None).cast("binary").alias("counts")))
     answers = by_bucket(met, "chunk").mapInArrow(_answer(top), "chunk long, kind int, keys binary, counts binary")
-    answers = answers.repartition(chunks, "chunk")
-    texts = dealt.where(f"kind = {TEXTS}").select("chunk", "keys").repartition(chunks, "chunk")
+    parts = 4 * chunks  # more than chunks, so that few meet others by hash
+    answers = answers.repartition(parts, "chunk")
+    texts = dealt.where(f"kind = {TEXTS}").select("chunk", "keys").repartition(parts, "chunk")
     found = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores_of_chunk, "id long, held_out boolean, n_words long, n_known long, base double, score double")
     # each text has one end more, a token that training has met once a text
     tokens, distinct, ends = words + (teaching or 0), distinct + bool(teaching), teaching or 0

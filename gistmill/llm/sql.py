@@ -20,8 +20,10 @@ reach(node, least) as (
   select doc_id, doc_id from documents
   union
   select e.b, r.least from reach r join both_ways e on e.a = r.node where r.least < e.b),
-labels as (select node, min(least) as component_id from reach group by node)
-select s.doc_id, cast(len(s.s) as bigint) as n_shingles, l.component_id from shingled s join labels l on l.node = s.doc_id
+labels as (select node, min(least) as component_id from reach group by node),
+degrees as (select a as node, count(*) as n_links from both_ways group by a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, l.component_id, coalesce(g.n_links, 0) as n_links
+from shingled s join labels l on l.node = s.doc_id left join degrees g on g.node = s.doc_id
 """
 
 SUBSTRING_DEDUP = rf"""

@@ -35,7 +35,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near-duplicates the document of the smallest id. Documents without shingles or without an id all
     stay; rows of one id are one document and stay or go together; an empty table stays empty."""
     plain, at = _plain(docs)
-    gone = jaccard.link(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(at["doc_id"])).distinct()
+    gone = jaccard.link(docs, links_too=False).where("component_id <> doc_id").select(F.col("doc_id").alias(at["doc_id"])).distinct()
     return plain.join(gone, at["doc_id"], "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 

@@ -108,6 +108,19 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()
 
 
+def plain_links(rows):
+    """Of each id, the other ids that it links with; of several texts, the most that one has."""
+    sets = collections.defaultdict(set)
+    for i, t in rows:
+        sets[shingles(t)].add(i)
+    out = dict.fromkeys((i for i, _ in rows), 0)
+    for a, ids in sets.items():
+        near = {j for b, others in sets.items() if a and b and 100 * len(a & b) >= 80 * len(a | b) for j in others}
+        for i in ids:
+            out[i] = max(out[i], len(near - {i}))
+    return out
+
+
 def plain_components(rows):
     sets, parent = {}, {}
     for i, t in rows:
@@ -128,9 +141,10 @@ def plain_components(rows):
 
 
 def test_jaccard_components(spark, docs, rows):
-    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect())
-    plain = plain_components(rows)
-    assert found == sorted((i, len(shingles(t)), plain[i]) for i, t in rows)
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.link(docs).collect())
+    plain, links = plain_components(rows), plain_links(rows)
+    assert found == sorted((i, len(shingles(t)), plain[i], links[i]) for i, t in rows)
+    assert jaccard.link(docs, links_too=False).columns == ["doc_id", "n_shingles", "component_id"]
     assert jaccard.link(empty(spark)).count() == 0
 
 
@@ -150,6 +164,23 @@ def test_join_keys_lose_no_pair():
             assert differ <= len(a) + len(b) - 2 * shared
 
 
+def test_large_groups_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 9_000)
+    monkeypatch.setattr(jaccard, "STAR", 7)
+    random = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(120):  # near copies, and texts that share a passage but are otherwise their own
+        words = list(base) if k % 2 else base[:30] + [f"own{k % 7}.{i}" for i in range(30)]
+        for _ in range(int(random.integers(0, 3))):
+            words[int(random.integers(0, 60))] = f"x{random.integers(0, 50)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(200 + i, texts[i]) for i in range(0, 40, 3)] + [(None, texts[1])]
+    found = {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    plain, links = plain_components(rows[:-1]), plain_links(rows[:-1])
+    assert found == {(i, plain[i], links[i]) for i in plain} | {(None, None, None)}
+
+
 def test_chain_of_links_through_middle_texts(spark):
     words = [f"t{i}" for i in range(100)]
     rows = [(10 - k, " ".join(words[k * 4 :] + [f"u{i}" for i in range(k * 4)])) for k in range(6)]
