@@ -317,9 +317,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     labels = components(links)
     # blocks that hold several components still
     labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    asked = labelled.join(several, "key").join(sets.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch")
-    asked = tiled(asked, "key", "id", F.length("sketch") + 64, TILE_BYTES).select("key", "i", "j", "tile", "id", "label", "n", "sketch")
+    of_key = [F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
+    several = labelled.groupBy("key").agg(*of_key).where("least < most").groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key")  # of blocks with the same sets one is enough
+    asked = labelled.join(several, "key").join(sets.select("id", "n"), "id")
+    asked = tiled(asked, "key", "id", F.col("n") + 64, TILE_BYTES)  # sets and sketches come last, as they are large
+    asked = asked.join(sets.select("id", "sketch"), "id").select("key", "i", "j", "tile", "id", "label", "n", "sketch")
     crossing = asked.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
     more = written(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets), "cross-links")
     drop_written(members)
@@ -330,8 +332,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     counted = [F.min(F.coalesce("label", "first")).alias("label")]
     if links_too:
         copies = named.groupBy(F.col("first").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
-        grouped = sets.select("id", "elements").join(found.withColumnRenamed("node", "id"), "id").join(copies, "id")
-        grouped = tiled(grouped, "label", "id", F.size("elements") * 8 + 64, TILE_BYTES).select("label", "i", "j", "tile", "id", "copies", "elements")
+        grouped = sets.select("id", "n").join(found.withColumnRenamed("node", "id"), "id").join(copies, "id")
+        grouped = tiled(grouped, "label", "id", F.col("n") * 8 + 64, TILE_BYTES)
+        grouped = grouped.join(sets.select("id", "elements"), "id").select("label", "i", "j", "tile", "id", "copies", "elements")
         met = grouped.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_link_counts, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
         counts = copies.join(met, "id", "left").select(F.col("id").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         found = counts.join(found.withColumnRenamed("node", "first"), "first", "left")
