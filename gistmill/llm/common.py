@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 BLOCK_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes whose words are hashed at once.
 _HASHED_BYTES = 1 << 20
 #: Parts into which spread_join deals the rows of one key.
@@ -53,7 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gistmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffles that led to the table are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,12 +86,6 @@ def tiled(df: DataFrame, key: str, row: str, size: Column, most: int) -> DataFra
     return sent.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose tables are written: it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, list_array, pick, release, ship, splitmix, spread_join, text_bytes, tiled, written
+from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, spread_join, text_bytes, tiled, written
 from .graph import components
 
 #: Words of a shingle.
@@ -301,7 +301,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(members.join(pivots, "key"), "members")
     drop_written(shared)
-    release(spark)
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).cast("int")
     taken = members.select(place.alias("place")).distinct().toArrow().column("place").to_numpy()  # a bounded table
@@ -313,7 +312,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
 
     stars = members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = written(_verified(stars, sets), "star-links")
-    release(spark)
     labels = components(links)
     # blocks that hold several components still
     labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
@@ -325,7 +323,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     crossing = asked.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
     more = written(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets), "cross-links")
     drop_written(members)
-    release(spark)
 
     several_sets = named.join(least, "id").where("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # of one id
     found = components(links.unionByName(more).unionByName(several_sets))  # copies stay out: they take their first one's label
@@ -344,6 +341,5 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     found = written(spread_join(named, found, ["first"], "id", "left").groupBy("id").agg(*counted), "found")
     for table in (named, sets, links, more):
         drop_written(table)
-    release(spark)
     out = rows.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"), *(["n_links"] if links_too else []))
     return out.withColumn("n_links", F.when(F.col(id_col).isNotNull(), F.coalesce("n_links", F.lit(0)))) if links_too else out
