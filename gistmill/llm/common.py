@@ -49,17 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, buckets: int = 0, by: str = "") -> DataFrame:
+    """The rows as a Parquet table in the shared folder: it cuts lineage and outlives lost executors.
+
+    With buckets the rows, which should be dealt by the column `by` into as many partitions, are a bucketed table: joins on
+    that column need no exchange of it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gistmill/{name}-{uuid.uuid4().hex}"
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gistmill/{own}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the shuffles that led to the table are of no more use
     try:
-        df.write.parquet(path)
+        if buckets:
+            df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(own.replace("-", "_"))
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(own.replace("-", "_")) if buckets else spark.read.schema(df.schema).parquet(path)
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], row: str, how: str = "inner") -> DataFrame:
@@ -80,7 +88,7 @@ def tiled(df: DataFrame, key: str, row: str, size: Column, most: int) -> DataFra
     and in one only if their tiles differ. A key of one tile is sent once; no task gets more than two tiles of a key at a time.
     """
     large = df.groupBy(key).agg(F.ceil(F.sum(size) / most).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = df.join(large, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = spread_join(df, large, [key], row, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64(row), F.col("tiles")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return sent.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
@@ -93,6 +101,7 @@ def drop_written(df: DataFrame) -> None:
         folder = file.rsplit("/", 1)[0]
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sql(f"drop table if exists {folder.rsplit('/', 1)[-1].replace('-', '_')}")  # where it is a bucketed one
         break
 
 

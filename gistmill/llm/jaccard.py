@@ -35,8 +35,8 @@ while BANDS[-1] < 1 << 40:
 _BANDS = np.array(BANDS)
 #: Bits of the table by which most texts are left out before their sets are made again.
 _FILTER_BITS = 22
-#: Pairs of one set that one task verifies; bytes of a tile of sets or sketches.
-STAR, TILE_BYTES = 4096, 4 << 20
+#: Pairs of one set that one task verifies; bytes of a tile of sets or sketches, and of all sets to a bucket.
+STAR, TILE_BYTES, SETS_BYTES = 4096, 4 << 20, 64 << 20
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -262,14 +262,21 @@ def _member_sets(bits):
     return run
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as a table, with the number of parts into which those of one `a` are dealt; it is 1 but for very many."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).where("parts > 1")
+    return written(spread_join(pairs, many, ["a"], "b", "left").select("a", "b", F.coalesce("parts", F.lit(1)).alias("parts")), "pairs")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets link: 100 * intersection >= 80 * union. An `a` of many pairs is dealt to several tasks, with its set in each."""
-    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).where("parts > 1")
-    dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(hot, "a", "left")
-    left = left.select("a", "na", "ea", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    """Those of dealt pairs whose sets link: 100 * intersection >= 80 * union. sets is bucketed by id and stays where it is."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    met = dealt.join(left, ["a", "part"]).join(right, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")).cast("long"))
+    few = pairs.where("parts = 1").join(left, "a").select("a", "b", "na", "ea")
+    many = pairs.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    spread = left.join(many.select("a", "parts").distinct(), "a").select("a", "na", "ea", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = few.unionByName(many.join(spread, ["a", "part"]).select("a", "b", "na", "ea"))
+    met = both.join(right, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")).cast("long"))
     return met.where("100 * shared >= 80 * (na + nb - shared)").select("a", "b")
 
 
@@ -308,9 +315,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     bits[taken] = True
     near = texts.where("id is not null").select("id", place.alias("place"), "text")
     wanted = members.select("id").distinct()
-    sets = written(near.mapInArrow(_member_sets(spark.sparkContext.broadcast(bits)), "id long, n long, elements array<bigint>, sketch binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "member-sets")
+    buckets = max(32, (rows.agg(F.sum("n")).first()[0] or 0) * 8 // SETS_BYTES)
+    found = near.mapInArrow(_member_sets(spark.sparkContext.broadcast(bits)), "id long, n long, elements array<bigint>, sketch binary")
+    sets = written(found.repartition(buckets, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "member_sets", buckets, "id")
 
-    stars = members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    stars = _dealt(members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     links = written(_verified(stars, sets), "star-links")
     labels = components(links)
     # blocks that hold several components still
@@ -321,8 +330,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_
     asked = tiled(asked, "key", "id", F.col("n") + 64, TILE_BYTES)  # sets and sketches come last, as they are large
     asked = asked.join(sets.select("id", "sketch"), "id").select("key", "i", "j", "tile", "id", "label", "n", "sketch")
     crossing = asked.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    more = written(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets), "cross-links")
-    drop_written(members)
+    crossing = written(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
+    crossed = _dealt(crossing)
+    more = written(_verified(crossed, sets), "cross-links")
+    for table in (members, stars, crossing, crossed):
+        drop_written(table)
 
     several_sets = named.join(least, "id").where("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))  # of one id
     found = components(links.unionByName(more).unionByName(several_sets))  # copies stay out: they take their first one's label
