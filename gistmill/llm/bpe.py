@@ -1,15 +1,14 @@
 """Byte-level BPE over rank files.
 
 Distinct pieces of a batch are laid out by length in padded matrices. In each round every row merges its leftmost pair of
-least rank; pairs are looked up in a hash table in numpy, and the matrix is compacted by one column's shift. Pieces over
-LONG bytes, which would need as many rounds, go through a heap of pairs instead: the same merges in the same order.
+least rank; pairs are looked up in a hash table in numpy, and the matrix is compacted by one column's shift. A piece over
+LONG bytes has a matrix of its own, over whose rows it is folded, and merges in the same order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, ship
 
-#: Longest piece, in bytes, that takes the matrix; bounds of the length buckets.
+#: Longest piece, in bytes, that shares a matrix with others; bounds of the length buckets.
 LONG, BUCKETS = 128, (4, 8, 16, 32, 64, 128)
 #: Pieces that a worker remembers between batches, and the longest of them.
 CACHE, CACHED_BYTES = 300_000, 48
@@ -100,7 +99,7 @@ class Ranks:
                 for i, ids in zip(part, self._matrix([pieces[i] for i in part], sizes[part], high), strict=True):
                     out[i] = ids
         for i in np.flatnonzero(sizes > LONG):
-            out[i] = self._heap(pieces[i])
+            out[i] = self._folded(pieces[i])
         for i in np.flatnonzero(sizes == 0):
             out[i] = ()
         return out
@@ -149,27 +148,45 @@ class Ranks:
                 ids, pair = ids[:, : max(most, 2)], pair[:, : max(most, 2) - 1]
         return done
 
-    def _heap(self, piece: bytes) -> tuple[int, ...]:
-        """A long piece: pairs wait in a heap by rank and place; a pair that has changed meanwhile is skipped."""
-        ids = [int(x) for x in self.byte_rank[np.frombuffer(piece, np.uint8)]]
-        n, bytes_of, ranks = len(ids), self.bytes_of, self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i, j: ranks.get(bytes_of[ids[i]] + bytes_of[ids[j]]) if j < n else None
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (x := rank(p, q)) is not None:
-                    heapq.heappush(heap, (x, p, ids[p], ids[q]))
-        return tuple(x for x in ids if x >= 0)
+    def _folded(self, piece: bytes, width: int = LONG) -> tuple[int, ...]:
+        """A long piece folded over rows of a matrix: each round merges its leftmost pair of least rank and compacts one row.
+
+        The least rank of each row is kept, so a round looks at those and at the rows next to the merge only.
+        """
+        n = len(piece)
+        rows = -(-n // width)
+        ids, pair = np.full(rows * width, -1, np.int64), np.full(rows * width, _NONE)
+        ids[:n] = self.byte_rank[np.frombuffer(piece, np.uint8)]
+        pair[: n - 1] = self.merged(ids[: n - 1], ids[1:n])
+        ids, pair = ids.reshape(rows, width), pair.reshape(rows, width)
+        size, after, before = [width] * (rows - 1) + [n - (rows - 1) * width], list(range(1, rows + 1)), list(range(-1, rows - 1))
+        least = pair.min(1)
+        rank = lambda x, y: self.ranks.get(self.bytes_of[x] + self.bytes_of[y], _NONE)
+        while True:
+            row = int(least.argmin())
+            best = int(least[row])
+            if best >= _NONE:
+                return tuple(ids[ids >= 0].tolist())
+            at = int(pair[row].argmin())
+            ids[row, at] = best
+            cut, place = (row, at + 1) if at + 1 < size[row] else (after[row], 0)
+            for x, empty in ((ids, -1), (pair, _NONE)):
+                x[cut, place:-1] = x[cut, place + 1 :]
+                x[cut, -1] = empty
+            size[cut] -= 1
+            if not size[cut]:
+                after[before[cut]] = after[cut]
+                if after[cut] < rows:
+                    before[after[cut]] = before[cut]
+                least[cut] = _NONE
+            right = ids[row, at + 1] if at + 1 < size[row] else ids[after[row], 0] if after[row] < rows else None
+            pair[row, at] = _NONE if right is None else rank(best, right)
+            behind, last = (row, at - 1) if at else (before[row], size[before[row]] - 1)
+            if behind >= 0:
+                pair[behind, last] = rank(ids[behind, last], best)
+            for x in {row, cut, behind}:
+                if x >= 0:
+                    least[x] = pair[x].min()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -247,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     vocabulary is the path of a rank file that the driver can read; its ranks, some 50,000 entries, are broadcast. Returns
     id_col, n_tokens, ids (array of int) and decoded (string); with digests, instead of the last two, ids_sha256 (of the
     decimal ids joined by a blank) and decoded_sha256. A null text is empty; an empty text has no ids; null ids, repeated
-    rows and texts of any length each give a row; an empty table gives none.
+    rows and texts of any length each give a row; an empty table gives none; other columns, even of clashing names, do no harm.
     """
     spark = docs.sparkSession
     ship(spark)

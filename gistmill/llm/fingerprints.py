@@ -177,7 +177,8 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20, id_col: str
     last floor(n/4) code points replaced by the first as many, or all, of the next one's. Buckets of neighbouring ids, of
     about bucket_bytes each, come from a histogram of the ids; the first row of each bucket goes to the one before too.
     A null text is empty; two empty texts are alike (1), an empty and another are not (0); null ids come first; repeated
-    rows each give a row; a single row is its own neighbour; an empty table gives none.
+    rows each give a row; a single row is its own neighbour; an empty table gives none; other columns, even of clashing
+    names, do no harm; a text of any length has its prefix arrays in memory at once, 16 bytes a code point.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -187,7 +188,8 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20, id_col: str
     rows = plain.select(F.col(own).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), sharding.id_key(own).alias("high"), F.xxhash64(text_bytes(text)).alias("low"))
     keys = written(rows.select("high", "low", (F.length("text") + 64).cast("long").alias("size")), "neighbour-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    splitters = sharding.find_splitters(keys, 1, max(1, -(-total // bucket_bytes)), 0.1)
+    buckets = max(1, -(-total // bucket_bytes))
+    splitters = sharding.find_splitters(keys, 1, buckets, 0.1)
     bucketed = keys.withColumn("bucket", sharding.bucket_column(splitters, "high", "low"))
     heads = sorted((r["bucket"], r["head"]["high"], r["head"]["low"]) for r in bucketed.groupBy("bucket").agg(F.min(F.struct("high", "low")).alias("head")).collect())
     drop_written(keys)
@@ -203,5 +205,5 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20, id_col: str
     own_place = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
     other_place = F.struct(F.col("ahead_of").alias("bucket"), F.lit(1).alias("ahead"))
     places = rows.select("id", "text", "high", "low", F.explode(F.when(F.col("ahead_of") >= 0, F.array(own_place, other_place)).otherwise(F.array(own_place))).alias("place"))
-    sent = places.select(F.col("place.bucket").alias("bucket"), F.col("place.ahead").alias("ahead"), "id", "text", "high", "low").repartition("bucket").sortWithinPartitions("bucket", "ahead", "high", "low")
+    sent = places.select(F.col("place.bucket").alias("bucket"), F.col("place.ahead").alias("ahead"), "id", "text", "high", "low").repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "ahead", "high", "low")
     return sent.select("bucket", "ahead", "id", "text").mapInArrow(_pairs, _SCHEMA).withColumnRenamed("id", id_col)

@@ -42,14 +42,12 @@ def place(bounds: list[tuple[int, int]], high: np.ndarray, low: np.ndarray) -> n
     lows = np.array([b for _, b in bounds], np.int64)
     first, last = np.searchsorted(tops, high, "left"), np.searchsorted(tops, high, "right")
     out = first.copy()
-    for i in np.flatnonzero(last > first) if len(high) < 64 else ():
-        out[i] += np.searchsorted(lows[first[i] : last[i]], low[i], "right")
-    if len(high) >= 64:
-        for a in np.unique(tops):
-            rows = np.flatnonzero(high == a)
-            if len(rows):
-                i, j = np.searchsorted(tops, a, "left"), np.searchsorted(tops, a, "right")
-                out[rows] = i + np.searchsorted(lows[i:j], low[rows], "right")
+    one = np.flatnonzero(last - first == 1)  # the usual case: a row's high is that of one boundary, or of none
+    out[one] += lows[first[one]] <= low[one]
+    several = np.flatnonzero(last - first > 1)
+    for i in np.unique(first[several]):
+        rows = several[first[several] == i]
+        out[rows] += np.searchsorted(lows[i : last[rows[0]]], low[rows], "right")
     return out
 
 
@@ -72,9 +70,10 @@ def count_below(keys: DataFrame, bounds: list[tuple[int, int]]) -> tuple[np.ndar
     return rows, size
 
 
-def find_splitters(keys: DataFrame, shards: int, parts: int, tolerance: float, by: str = "size", probes: int = 8) -> Splitters:
+def find_splitters(keys: DataFrame, shards: int, parts: int, tolerance: float, by: str = "size", probes: int = 8, whole: bool = False) -> Splitters:
     """Boundaries of shards * parts buckets of nearly equal bytes; a shard's ends are off by `tolerance` of a shard at most,
-    a part's by a tenth of a part, wherever single rows allow it."""
+    a part's by a tenth of a part, wherever single rows allow it. With whole, rows of one `high` stay in one bucket where
+    moving the boundary before them shifts it by no more than that."""
     low, high, low_top, high_top, n, total = keys.agg(F.min("low"), F.max("low"), F.min("high"), F.max("high"), F.count(F.lit(1)), F.sum(by)).first()
     wanted = shards * parts - 1
     if not n or wanted <= 0:
@@ -117,6 +116,11 @@ def find_splitters(keys: DataFrame, shards: int, parts: int, tolerance: float, b
                         bracket[j][1], bracket[j][3], bracket[j][5] = x, int(below[i]), int(count[i])
     bounds = [key(x) for x in np.maximum.accumulate(np.array(final, object))]
     rows, size = count_below(keys, bounds)
+    if whole:
+        before = [(a, _LOW) for a, _ in bounds]
+        shift = np.cumsum(size)[:-1] - np.cumsum(count_below(keys, before)[1])[:-1]
+        bounds = [b if moved <= most else a for a, b, moved, most in zip(bounds, before, shift.tolist(), allowed, strict=True)]
+        rows, size = count_below(keys, bounds)
     return Splitters(bounds, rows.tolist(), size.tolist())
 
 
@@ -166,7 +170,8 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
     """Every row with `size` (UTF-8 bytes of the text, none for null, plus 8), `shard` (0 to shards - 1) and `slot` (0, 1, ... in each shard).
 
     Law "bytes": shards hold nearly equal sums of size, within `tolerance` of a shard and a row's size. Equal texts lie
-    side by side; a group of them larger than a shard goes on in the next. A shard is sorted in parts of about `part_bytes`,
+    side by side, and in one shard if that moves its end by no more than `tolerance`; a larger group may go on in the next.
+    Null and empty texts are one group; repeated rows each have a slot; a text of any length is one row of one shard. A shard is sorted in parts of about `part_bytes`,
     one task each, so that the largest task stays as the data grow. Rows of equal text and id lie on one side of every boundary.
     Null ids sort first; an empty table gives no rows; the columns added are named _size, _shard and _slot if the input has
     their names, in any case of letters.
@@ -181,14 +186,14 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
     keys = written(rows.select("high", "low", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // (shards * part_bytes)))
-    splitters = find_splitters(keys, shards, parts, tolerance)
+    splitters = find_splitters(keys, shards, parts, tolerance, whole=True)
     drop_written(keys)
     base, at = [], 0
     for i, n in enumerate(splitters.rows):
         at = 0 if i % parts == 0 else at
         base.append(at)
         at += n
-    placed = rows.withColumn("bucket", bucket_column(splitters, "high", "low"))
+    placed = rows.withColumn("bucket", bucket_column(splitters, "high", "low")).repartition(2 * shards * parts, "bucket")  # more than buckets, so that few meet others
     order = Window.partitionBy("bucket").orderBy("high", "low")
     slot = F.row_number().over(order).cast("long") - 1 + F.element_at(F.lit(base).cast("array<bigint>"), F.col("bucket") + 1)
     taken = {x.lower() for x in names}

@@ -93,7 +93,7 @@ def test_bpe_equals_tiktoken(spark, docs, rows):
     assert len(bpe.read_ranks_of(spark, path)) == len(bpe.read_ranks(path))
 
 
-@pytest.mark.parametrize("text", ["it's We'LL ½ Ⅳ \x1c\x85  x", "\U0001f600 é́", "  \n  a", "ab" * 700, "²³ ٣ a_b"])
+@pytest.mark.parametrize("text", ["it's We'LL ½ Ⅳ \x1c\x85  x", "\U0001f600 é́", "  \n  a", "ab" * 700, "²³ ٣ a_b", "a" * 129, " " * 3000, "=-" * 1500, "thequickbrownfoxjumps" * 400, "é" * 500 + "x"])
 def test_bpe_edges(text):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = bpe.coder(("test",), ranks, public_tokenizers.PATTERN)
@@ -250,6 +250,22 @@ def test_shards_are_nearly_equal(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * 110 + 0.01 * sum(sizes) / 8
 
 
+def test_small_groups_of_equal_texts_stay_whole(spark):
+    text = spark.range(20_000).selectExpr("id as doc_id", "repeat(cast(id % 4000 as string), 3) as text")
+    found = sharding.shard(text, shards=16, tolerance=0.01)
+    assert found.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    sizes = [r[1] for r in found.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 16
+
+
+def test_places_among_boundaries():
+    random = np.random.default_rng(8)
+    bounds = sorted({(int(a), int(b)) for a, b in random.integers(-4, 4, (20, 2))})
+    high, low = random.integers(-5, 5, (2, 500))
+    assert sharding.place(bounds, high, low).tolist() == [sum(x <= y for x in bounds) for y in zip(high.tolist(), low.tolist(), strict=True)]
+    assert sharding.place([], high, low).tolist() == [0] * 500
+
+
 def test_digests_are_of_texts_that_shards_hold(spark, monkeypatch):
     shard = sharding.shard
     monkeypatch.setattr(sharding, "shard", lambda docs, **named: shard(docs, **named).withColumn("text", F.concat("text", F.lit(" moved"))))
