@@ -53,12 +53,25 @@ UNFINISHED_QUOTE = r'^"[^"]+$|^[^"]+"$'
 MANUAL_PARAGRAPH = r"(?<=\.|_)\s+(?!.*INC.)(?=\w)"
 
 
+#: What a text must hold for any of REMOVED to match, and for its blank space to need squeezing.
+_MARKED = r"[(_]|SOURCES: |For Use By|Story Filed By|Gov\."
+_LOOSE = r"^\s|\s$|\s\s|[\t\n\x0B\f\r]"
+
+
 def clean_paragraph(text: Column) -> Column:
-    """Blank space squeezed, then REMOVED applied in order."""
-    out = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
-    for pattern, by in REMOVED:
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    """Blank space squeezed, then REMOVED applied in order. Most paragraphs need neither, which two searches tell."""
+
+    def squeezed(x: Column) -> Column:
+        return F.when(x.rlike(_LOOSE), F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+", " ")).otherwise(x)
+
+    def stripped(x: Column) -> Column:
+        out = x
+        for pattern, by in REMOVED:
+            out = F.regexp_replace(out, pattern, by)
+        return F.when(x.rlike(_MARKED), out).otherwise(x)
+
+    # each step's input as a lambda's variable: it is made once
+    return F.element_at(F.transform(F.transform(F.array(text), squeezed), stripped), 1)
 
 
 def is_dropped(text: Column) -> Column:

@@ -154,21 +154,24 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_generation(F.col("text")).alias("text"))
 
 
-@query("summary_files", None)
+_LINE = r"""regexp_replace(regexp_replace(regexp_replace(array_to_string(tokens, ' '), ' ([.,;:!?)\]}%])', '\1', 'g'), '([(\[{$#]) ', '\1', 'g'), ' ?([''’]) ?(s|t|re|ve|m|ll|d)\b', '\1\2', 'g')"""
+
+
+@query("summary_files", f"with {_LEAD}, lines as (select docset_id, split_part(docset_id, '-', 1) as stem, sent_idx, {_LINE} as line from run where running <= 100) select substr(stem, 1, length(stem) - 1) || '-' || right(stem, 1) || '.M.100.' || right(docset_id, 1) || '.4' as file, string_agg(line, chr(10) order by sent_idx) as text from lines group by docset_id, stem")
 def _(spark, sf_dir):
     every = sents(spark, sf_dir)
     lead = selection.lead_k(every).join(every.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
     return files.summary_texts(lead.select("docset_id", F.col("sent_idx").alias("order_idx"), "tokens"), 4)
 
 
-@query("rouge_config", None)
+@query("rouge_config", """with m as (select docset_id, string_agg('<M ID="' || doc_id || '">' || docset_id || '.' || doc_id || '</M>', chr(10) order by cast(doc_id as varchar)) as models from docs group by docset_id) select docset_id as base_id, concat_ws(chr(10), '<EVAL ID="' || docset_id || '">', '<PEER-ROOT>', 'peers', '</PEER-ROOT>', '<MODEL-ROOT>', 'models', '</MODEL-ROOT>', '<INPUT-FORMAT TYPE="SPL">', '</INPUT-FORMAT>', '<PEERS>', '<P ID="1">' || docset_id || '.1</P>', '<P ID="2">' || docset_id || '.2</P>', '</PEERS>', '<MODELS>', models, '</MODELS>', '</EVAL>') as eval from m""")
 def _(spark, sf_dir):
     d = docs(spark, sf_dir)
     peers = d.select(F.col("docset_id").alias("base_id")).distinct().withColumn("method", F.explode(F.array(F.lit("1"), F.lit("2"))))
     return files.rouge_config(peers, d.select(F.col("docset_id").alias("base_id"), F.col("doc_id").cast("string").alias("annotator")), "peers", "models")
 
 
-@query("llm_records", None)
+@query("llm_records", "with d as (select docset_id, doc_id, arg_min(sentence, sent_idx) as headline, string_agg(sentence, chr(10) order by sent_idx) as body, bool_or(sent_idx = 0) as gold from sents group by docset_id, doc_id) select docset_id as id, 1::bigint as category, arg_max(headline, doc_id) as title, count(*) as documents, count(*) filter (gold) as golds, md5(string_agg(body, chr(10) order by doc_id)) as digest from d group by docset_id")
 def _(spark, sf_dir):
     every = sents(spark, sf_dir)
     packed = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence")))
@@ -176,4 +179,4 @@ def _(spark, sf_dir):
     rows = each.select("docset_id", F.col("doc_id").alias("pos"), F.lit(1).alias("corpus"), F.element_at("sentences", 1).alias("headline"), "sentences")
     golds = references(spark, sf_dir).select("docset_id", T.detokenize(F.col("tokens")).alias("text"))
     found = files.llm_records(rows, golds)
-    return found.select("id", "category", "title", F.size("text").alias("documents"), F.size("summary").alias("golds"), F.md5(F.to_json("text")).alias("digest"))
+    return found.select("id", "category", "title", F.size("text").alias("documents"), F.size("summary").alias("golds"), F.md5(F.array_join(F.flatten("text"), "\n")).alias("digest"))

@@ -15,7 +15,11 @@ def read(spark, sf_dir: str, name: str):
 
 
 def docs(spark, sf_dir):
-    return tables.docset_documents(read(spark, sf_dir, "documents"))
+    rows = read(spark, sf_dir, "documents")
+    wide = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < 2 * wide:  # few files or row groups: splitting is dear, so the texts are dealt to all cores first
+        rows = rows.repartition(2 * wide, "doc_id")
+    return tables.docset_documents(rows)
 
 
 def sents(spark, sf_dir):
