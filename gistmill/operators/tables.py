@@ -28,6 +28,13 @@ def sentences(docs: DataFrame) -> DataFrame:
     return flat.select("docset_id", "doc_id", "s.para_idx", "sent_idx", "s.sentence", T.tokens(F.col("s.sentence")).alias("tokens"))
 
 
+def first_documents(docs: DataFrame) -> DataFrame:
+    """Of each docset the document of the smallest doc_id that has a sentence; chosen by ids, before any sentence is split."""
+    says = F.exists(F.transform(F.split("text", "\n"), T.clean_paragraph), lambda p: ~T.is_dropped(p) & p.rlike(r"[^.!?\s]"))
+    first = docs.where(says).groupBy("docset_id").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(first, ["docset_id", "doc_id"])
+
+
 def terms(sents: DataFrame, n: int = 1, padded: bool = True, stopwords: bool = True) -> DataFrame:
     """docset_id, doc_id, sent_idx, term: a row an occurrence of an n-gram of lower-cased words."""
     kept = T.words(F.col("tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import text as T
 from gistmill.operators import masking, rouge, selection
 from gistmill.plans.registry import query
-from gistmill.plans.texts import docs, read, sents
+from gistmill.plans.texts import docs, lead_sents, read, sents
 from gistmill.sources import files
 
 _WORDS = r"list_transform(list_filter(tokens, lambda x: regexp_matches(x, '[\p{L}\p{N}_]') and not starts_with(x, '&')), lambda x: lower(x))"
@@ -27,8 +27,8 @@ _LEAD = """firsts as (select *, len(tokens) as n_tokens from sents where doc_id
 
 
 def summaries(spark, sf_dir):
-    every = sents(spark, sf_dir)
-    lead = selection.lead_k(every).join(every.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
+    every, first = sents(spark, sf_dir), lead_sents(spark, sf_dir)
+    lead = selection.lead_k(first).join(first.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
     packed = F.array_sort(F.collect_list(F.struct("sent_idx", "tokens")))
     lead = lead.groupBy("docset_id").agg(F.flatten(F.transform(packed, lambda x: x["tokens"])).alias("tokens")).select("docset_id", F.lit("lead").alias("method"), "tokens")
     longest = every.groupBy("docset_id").agg(F.max_by("tokens", F.struct(F.size("tokens"), -F.col("doc_id"), -F.col("sent_idx"))).alias("tokens"))
@@ -159,8 +159,8 @@ _LINE = r"""regexp_replace(regexp_replace(regexp_replace(array_to_string(tokens,
 
 @query("summary_files", f"with {_LEAD}, lines as (select docset_id, split_part(docset_id, '-', 1) as stem, sent_idx, {_LINE} as line from run where running <= 100) select substr(stem, 1, length(stem) - 1) || '-' || right(stem, 1) || '.M.100.' || right(docset_id, 1) || '.4' as file, string_agg(line, chr(10) order by sent_idx) as text from lines group by docset_id, stem")
 def _(spark, sf_dir):
-    every = sents(spark, sf_dir)
-    lead = selection.lead_k(every).join(every.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
+    first = lead_sents(spark, sf_dir)
+    lead = selection.lead_k(first).join(first.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
     return files.summary_texts(lead.select("docset_id", F.col("sent_idx").alias("order_idx"), "tokens"), 4)
 
 

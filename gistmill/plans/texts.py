@@ -26,6 +26,11 @@ def sents(spark, sf_dir):
     return tables.sentences(docs(spark, sf_dir))
 
 
+def lead_sents(spark, sf_dir):
+    """Sentences of each docset's first document."""
+    return tables.sentences(tables.first_documents(docs(spark, sf_dir)))
+
+
 def terms(spark, sf_dir):
     return tables.terms(sents(spark, sf_dir))
 
@@ -208,7 +213,7 @@ def _(spark, sf_dir):
     "with first as (select *, len(tokens) as n_tokens from sents where doc_id in (select min(doc_id) from sents group by docset_id)), begun as (select * from first f where sent_idx >= (select min(sent_idx) from first g where g.docset_id = f.docset_id and g.n_tokens <= 100)), run as (select docset_id, doc_id, sent_idx, n_tokens, cast(sum(n_tokens) over (partition by docset_id order by sent_idx) as bigint) as running from begun) select docset_id, doc_id, sent_idx, n_tokens, running from run where running <= 100",
 )
 def _(spark, sf_dir):
-    return selection.lead_k(sents(spark, sf_dir)).select("docset_id", "doc_id", "sent_idx", "n_tokens", "running")
+    return selection.lead_k(lead_sents(spark, sf_dir)).select("docset_id", "doc_id", "sent_idx", "n_tokens", "running")
 
 
 @query("fractional_position", "select doc_id, sent_idx, round(frac, 6) + 0.0 as frac from placed")

@@ -147,16 +147,47 @@ def test_masks_and_prompts(spark):
     assert masking.summaries_of(golds).count() == 2 and masking.summaries_of(golds, 1).count() == 1
 
 
-def test_realization():
-    long, short = realization.Span("President Barack Obama", ("NNP", "NNP", "NNP"), "s1"), realization.Span("Obama", ("NNP",), "s2")
-    assert realization.may_replace(short, long) and not realization.may_replace(short, realization.Span("Joe Biden", ("NNP", "NNP")))
-    assert realization.replace_nth("Obama met Obama.", short, long, 2) == ("Obama met President Barack Obama.", True)
-    assert realization.replace_nth("I said so", realization.Span("he", ("PRP",)), long, 1) == ("I said so", False)
-    assert realization.replace_nth('He: "so Obama went" on', short, long, 1)[0] == 'He: "so [President Barack Obama] went" on'
-    cluster = realization.Cluster([long, short])
-    mentions = {"Obama spoke.": [realization.Span("Obama", ("NNP",), "s2")], "President Barack Obama left.": [realization.Span("President Barack Obama", ("NNP",) * 3, "s1")]}
-    r = realization.Realizer(mentions.__getitem__, {"c": cluster})
-    assert r("Obama spoke.") == "President Barack Obama spoke." and r("President Barack Obama left.") == "Obama left."
+def test_realization(spark):
+    place = "docset_id string, order_idx int, start int, text string, tags array<string>, features array<string>, cluster string"
+    span = "docset_id string, cluster string, text string, tags array<string>, features array<string>"
+    lines = ["Obama met Obama.", 'He said: "Obama met me" twice.', "Nobody came.", "President Barack Obama, 50, left."]
+    sentences = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "docset_id string, order_idx int, sentence string")
+    mentions = spark.createDataFrame(
+        [
+            ("d", 0, 0, "Obama", ["NNP"], [""], "a"),
+            ("d", 0, 10, "Obama", ["NNP"], [""], "b"),
+            ("d", 1, 0, "He", ["PRP"], ["Person=3"], "a"),
+            ("d", 1, 10, "Obama", ["NNP"], [""], "c"),
+            ("d", 3, 0, "President Barack Obama, 50", ["NNP"] * 3 + ["CD"], [""] * 4, "a"),
+        ],
+        place,
+    )
+    spans = spark.createDataFrame(
+        [
+            ("d", "a", "President Barack Obama, 50", ["NNP"] * 3 + ["CD"], [""] * 4),
+            ("d", "a", "Obama", ["NNP"], [""]),
+            ("d", "a", "he", ["PRP"], ["Person=3"]),
+            ("d", "b", "Michelle Obama", ["NNP"] * 2, [""] * 2),
+            ("d", "b", "Joe Biden of Delaware", ["NNP", "NNP", "IN", "NNP"], [""] * 4),  # no word of the mention's
+            ("d", "c", "the Obama couple", ["DT", "NNP", "NN"], [""] * 3),
+        ],
+        span,
+    )
+    found = [r["sentence"] for r in realization.realize(sentences, mentions, spans).orderBy("order_idx").collect()]
+    assert found == ["President Barack Obama met Michelle Obama.", 'He said: "[the Obama couple] met me" twice.', "Nobody came.", "Obama, left."]
+    older = [r["sentence"] for r in realization.replace_referents(sentences, mentions, spans).orderBy("order_idx").collect()]
+    assert older[1].startswith("President Barack Obama said") and older[3] == "President Barack Obama, left."
+    rules = {(r["name"], r["allowed"], r["shared_name"]) for r in realization.verdicts(mentions, realization.names(spans)).where("cluster = 'b'").collect()}
+    assert rules == {("Michelle Obama", True, True), ("Joe Biden of Delaware", False, False)}
+    assert realization.realize(sentences, mentions.where("order_idx > 9"), spans).count() == 4
+    sents = spark.createDataFrame([("d", 5, 0, ["a", "b"]), ("d", 4, 2, ["b", "a", "a"]), ("e", 1, 0, ["a", "b"])], "docset_id string, doc_id long, sent_idx int, tokens array<string>")
+    chosen = spark.createDataFrame([("d", 0, ["a", "b"]), ("d", 1, ["c"])], "docset_id string, order_idx int, tokens array<string>")
+    assert [tuple(r) for r in realization.match_sentences(chosen, sents).collect()] == [("d", 0, 4, 2)]
+    phrases = spark.createDataFrame([("d", 0, 3, "x y", "a x y"), ("d", 0, 1, "z", "a x y")], "docset_id string, order_idx int, start int, text string, sentence string")
+    known = spark.createDataFrame([("d", "k2", "x y", "a x y"), ("d", "k1", "x y", "a x y"), ("d", "k3", "z", "other")], "docset_id string, cluster string, text string, sentence string")
+    assert [(r["start"], r["cluster"]) for r in realization.link_mentions(phrases, known).collect()] == [(3, "k1")]
+    with pytest.raises(ValueError):
+        realization.edits(mentions, realization.names(spans), "longest")
     with pytest.raises(NotImplementedError):
         realization.resolver(None)
 
