@@ -36,7 +36,7 @@ _BANDS = np.array(BANDS)
 #: Bits of the table by which most texts are left out before their sets are made again.
 _FILTER_BITS = 22
 #: Pairs of one set that one task verifies; bytes of a tile of sets or sketches, and of all sets to a bucket.
-STAR, TILE_BYTES, SETS_BYTES = 4096, 4 << 20, 64 << 20
+STAR, TILE_BYTES, SETS_BYTES = 512, 4 << 20, 64 << 20
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
