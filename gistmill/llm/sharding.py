@@ -193,7 +193,7 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
         at = 0 if i % parts == 0 else at
         base.append(at)
         at += n
-    placed = rows.withColumn("bucket", bucket_column(splitters, "high", "low")).repartition(2 * shards * parts, "bucket")  # more than buckets, so that few meet others
+    placed = rows.withColumn("bucket", bucket_column(splitters, "high", "low")).repartitionById(shards * parts, "bucket")  # a task a bucket: by hash, several would meet in one
     order = Window.partitionBy("bucket").orderBy("high", "low")
     slot = F.row_number().over(order).cast("long") - 1 + F.element_at(F.lit(base).cast("array<bigint>"), F.col("bucket") + 1)
     taken = {x.lower() for x in names}

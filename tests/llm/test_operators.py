@@ -239,6 +239,8 @@ def test_shards(spark, docs, rows):
     assert all(r["size"] == len((r["text"] or "").encode()) + 8 for r in found)
     for s in {r["shard"] for r in found}:
         assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+    tasks = sharding.shard(plain, shards=4).groupBy(F.spark_partition_id()).agg(F.countDistinct("shard").alias("n")).collect()
+    assert len(tasks) > 1 and {r["n"] for r in tasks} == {1}  # no task sorts two shards
     assert sharding.shard(empty(spark)).count() == 0
     clash = sharding.shard(plain.withColumnRenamed("text", "SIZE"), text_col="SIZE")
     assert "_size" in clash.columns
