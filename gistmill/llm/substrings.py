@@ -12,14 +12,15 @@ with others and are dealt evenly, and one row stands for them all, so no key has
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, pick, ship, splitmix, spread_join, text_bytes, written
+from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, spread_join, text_bytes, written
 
 #: Words of a window, of an anchor, and the grams of which one is an anchor.
 WINDOW, ANCHOR = 13, 6
@@ -203,9 +204,8 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _near(texts: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
-    """Rows of texts whose ids may be among ids; or all the others, and those of a null id."""
-    shared = texts.sparkSession.sparkContext.broadcast(_bits(ids))
+def _sieve(shared: Broadcast, others: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lets rows (id, place, text) pass whose places are in the shared table; or all the others, and those of a null id."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +213,22 @@ def _near(texts: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
             batch = batch.filter(pa.array(among != others))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["id", "text"])
 
-    placed = texts.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("place"), "text")
-    return placed.mapInArrow(passing, "id long, text binary")
+    return passing
+
+
+def _uncut(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_cut_rows of the others, which lose nothing; in the worker that chooses them, so that no second one runs beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sieve(shared, True)(batches):
+            none = list_array(np.zeros(0, np.int64), np.zeros(len(batch), np.int64), pa.int64())
+            yield from _cut_rows(iter([pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["id", "text", "repeats", "copied"])]))
+
+    return run
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    return texts.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("place"), "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +253,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = written(shared.groupBy("id").agg(F.collect_set("place").alias("places")), "shared-anchors")  # no more than a text's words
     owner_of = owned.groupBy("id").agg(F.min("owner").alias("owner"))
     seeds = places.join(owner_of, "id")
-    windows = _near(known, places.select("id")).join(seeds, "id").select("owner", "text", "places").mapInArrow(_window_rows, "deal long, owner long, window long")
+    pair = "id long, text binary"
+    seeded = spark.sparkContext.broadcast(_bits(places.select("id")))
+    windows = _placed(known).mapInArrow(_sieve(seeded, False), pair).join(seeds, "id").select("owner", "text", "places").mapInArrow(_window_rows, "deal long, owner long, window long")
     repeats = windows.repartition("deal").sortWithinPartitions("deal", "owner").mapInArrow(_repeats, "owner long, window long")
     dirty = repeats.groupBy(F.col("owner").alias("id")).agg(F.collect_set("window").alias("repeats"))
     whole = owned.where("id > owner").groupBy("id").agg(F.collect_set("d1").alias("copied"))
@@ -248,8 +264,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         drop_written(table)
     # only texts that lose words meet their marks; the others stay where they are
     none = F.array().cast("array<bigint>")
-    met = _near(known, marks.select("id")).join(marks, "id", "left").select("id", "text", F.coalesce("repeats", none).alias("repeats"), F.coalesce("copied", none).alias("copied"))
-    others = _near(texts, marks.select("id"), others=True).select("id", "text", none.alias("repeats"), none.alias("copied"))
+    marked = spark.sparkContext.broadcast(_bits(marks.select("id")))
+    met = _placed(known).mapInArrow(_sieve(marked, False), pair).join(marks, "id", "left").select("id", "text", F.coalesce("repeats", none).alias("repeats"), F.coalesce("copied", none).alias("copied"))
     kind = "id long, n_words long, n_removed long, kept_text string"
-    out = met.mapInArrow(_cut_rows, kind).unionByName(others.mapInArrow(_cut_rows, kind))
+    out = met.mapInArrow(_cut_rows, kind).unionByName(_placed(texts).mapInArrow(_uncut(marked), kind))
     return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).withColumnRenamed("id", id_col)
