@@ -1,16 +1,28 @@
-"""ROUGE-1 and ROUGE-2 as joins of n-gram counts, without stemming."""
+"""ROUGE-1 and ROUGE-2 as joins of n-gram counts, on words or stems, of whole texts or their first words."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from gistmill.functions import text as T
+from gistmill.functions.stem import porter
 
 
-def gram_counts(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """keys, gram, c, total of lower-cased word n-grams of the column tokens; a text without any has no rows."""
-    grams = texts.select(*keys, F.explode(T.ngrams(T.words(F.col("tokens"), entities=False), n, padded=False)).alias("gram"))
+@F.pandas_udf(ArrayType(StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Porter's stem of each word of an array."""
+    return words.map(lambda x: [porter(w) for w in x])
+
+
+def gram_counts(texts: DataFrame, keys: list[str], n: int, stem: bool = False, limit: int | None = None) -> DataFrame:
+    """keys, gram, c, total of lower-cased word n-grams of the column tokens; a text without any has no rows. Words beyond
+    the first `limit` do not count."""
+    words = T.words(F.coalesce("tokens", F.array().cast("array<string>")), entities=False)
+    words = words if limit is None else F.slice(words, 1, limit)
+    grams = texts.select(*keys, F.explode(T.ngrams(stems(words) if stem else words, n, padded=False)).alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("c"))
     return counts.join(counts.groupBy(*keys).agg(F.sum("c").alias("total")), keys)
 
@@ -19,9 +31,9 @@ def f_score(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def scores(summaries: DataFrame, references: DataFrame, on: list[str], summary: list[str], reference: list[str], n: int = 1) -> DataFrame:
+def scores(summaries: DataFrame, references: DataFrame, on: list[str], summary: list[str], reference: list[str], n: int = 1, stem: bool = False, limit: int | None = None) -> DataFrame:
     """on, summary, reference, p, r, f of every summary and reference of one `on`; pairs without a shared n-gram score 0."""
-    a, b = gram_counts(summaries, [*on, *summary], n), gram_counts(references, [*on, *reference], n)
+    a, b = gram_counts(summaries, [*on, *summary], n, stem, limit), gram_counts(references, [*on, *reference], n, stem, limit)
     totals = lambda x, keys, name: x.groupBy(*on, *keys).agg(F.first("total").alias(name))
     shared = a.select(*on, *summary, "gram", F.col("c").alias("ca")).join(b.select(*on, *reference, "gram", F.col("c").alias("cb")), [*on, "gram"])
     shared = shared.groupBy(*on, *summary, *reference).agg(F.sum(F.least("ca", "cb")).alias("shared"))

@@ -40,6 +40,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of those vectors of an array whose mask is 1; all zeros where none is."""
+    places = lambda x: F.sequence(F.lit(0), F.size(x) - 1)
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    total = lambda d: F.aggregate(places(mask), F.lit(0.0), lambda s, t: s + F.get(mask, t) * F.get(F.get(vectors, t), d))
+    return F.transform(places(F.get(vectors, F.lit(0))), lambda d: total(d) / n)
+
+
 def reduce_vectors(vectors: DataFrame, group: str, how: str = "centroid") -> DataFrame:
     """group, dim, value: centroid (mean), normalized_mean or normalized_sum of the group's vectors (column v)."""
     norm = F.sqrt(dot(F.col("v"), F.col("v")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
-from gistmill.operators import masking, rouge, selection
+from gistmill.operators import masking, realization, rouge, selection
 from gistmill.plans.registry import query
 from gistmill.plans.texts import docs, lead_sents, read, sents
 from gistmill.sources import files
@@ -39,8 +39,8 @@ def references(spark, sf_dir):
     return sents(spark, sf_dir).where("sent_idx = 0").select("docset_id", "doc_id", "tokens")
 
 
-def scores(spark, sf_dir, n):
-    return rouge.scores(summaries(spark, sf_dir), references(spark, sf_dir), ["docset_id"], ["method"], ["doc_id"], n)
+def scores(spark, sf_dir, n, **how):
+    return rouge.scores(summaries(spark, sf_dir), references(spark, sf_dir), ["docset_id"], ["method"], ["doc_id"], n, **how)
 
 
 def _score_sql(n: int) -> str:
@@ -58,6 +58,29 @@ for _n in (1, 2):
         return scores(spark, sf_dir, n)
 
 
+#: Words of a text that count where scores are limited.
+WORD_LIMIT = 100
+
+
+@query("rouge1_limited", f"with {_score_sql(1)} select docset_id, method, doc_id, round(p, 6) + 0.0 as p, round(r, 6) + 0.0 as r, round(f, 6) + 0.0 as f from scored1".replace(f"{_WORDS} as w", f"({_WORDS})[1:{WORD_LIMIT}] as w"))
+def _(spark, sf_dir):
+    return scores(spark, sf_dir, 1, limit=WORD_LIMIT)
+
+
+for _n in (1, 2):
+
+    @query(f"rouge{_n}_stemmed")
+    def _(spark, sf_dir, n=_n):
+        return scores(spark, sf_dir, n, stem=True, limit=WORD_LIMIT)
+
+
+@query("summary_sentence_match", f"with {_LEAD}, bags as (select docset_id, list_sort(list_distinct(tokens)) as bag, min(struct_pack(d := doc_id, s := sent_idx)) as place from sents group by all) select docset_id, r.sent_idx as order_idx, place.d as doc_id, place.s as sent_idx from (select docset_id, sent_idx, list_sort(list_distinct(tokens)) as bag from run where running <= 100) r join bags using (docset_id, bag)")
+def _(spark, sf_dir):
+    first = lead_sents(spark, sf_dir)
+    lead = selection.lead_k(first).join(first.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
+    return realization.match_sentences(lead.select("docset_id", F.col("sent_idx").alias("order_idx"), "tokens"), sents(spark, sf_dir))
+
+
 @query("rouge_best_reference", f"with {_score_sql(1)} select docset_id, method, arg_max(doc_id, struct_pack(a := round(f, 9), b := -doc_id)) as doc_id, round(max(f), 6) + 0.0 as f from scored1 group by docset_id, method")
 def _(spark, sf_dir):
     best = F.struct(F.round("f", 9).alias("a"), (-F.col("doc_id")).alias("b"))

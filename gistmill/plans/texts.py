@@ -178,6 +178,18 @@ def _(spark, sf_dir):
     return tfidf.weights(tfidf.tf(rows.where("doc_id % 10 = 0"), "docset"), idf).select("docset_id", "term", "tf", "w")
 
 
+@query(
+    "tfidf_transform",
+    "select item_id, term, round(ln(1 + tf) * idf, 6) + 0.0 as w from (select item_id, term, count(*) as tf from (select item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as term from benchmark) group by all) join idf_con using (term)",
+)
+def _(spark, sf_dir):
+    kept = content(spark, sf_dir)  # fitted on documents, applied to the items of another corpus
+    idf = tfidf.idf(tfidf.tf(kept, "sentence"), "sentence")
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term")
+    items = read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("docset_id"), F.col("item_id").alias("doc_id"), F.lit(0).alias("sent_idx"), words)
+    return tfidf.sentence_vectors(items, idf).select(F.col("doc_id").alias("item_id"), "term", "w")
+
+
 def _gram_sql(n: int, padded: bool) -> str:
     pad = f"list_concat(list_concat([{', '.join(['$<s>$'] * (n - 1))}], words), [{', '.join(['$</s>$'] * (n - 1))}])".replace("$", "'") if padded and n > 1 else "words"
     return f"with p as (select doc_id, {pad} as w from worded) select doc_id, gram as term, count(*) as tf from (select doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) as gram from p where len(w) >= {n}) group by all"

@@ -129,6 +129,18 @@ for _how, _fold in (("centroid", "avg(x)"), ("normalized_mean", "avg(x / case wh
         return similarity.reduce_vectors(read(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("v")), "label", how)
 
 
+@query(
+    "masked_mean_pool",
+    "select vec_id, d as dim, round(list_sum(list_transform(range(0, 8), lambda t: ((vec_id >> t) & 1) * cast(embedding[t * 8 + d + 1] as double))) / greatest(cast(bit_count(vec_id & 255) as double), 1e-9), 6) + 0.0 as value from (select vec_id, embedding, unnest(range(0, 8)) as d from embeddings)",
+)
+def _(spark, sf_dir):
+    steps = F.sequence(F.lit(0), F.lit(7))  # an embedding as eight tokens of eight dimensions, masked by the bits of its id
+    tokens = F.transform(steps, lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    mask = F.transform(steps, lambda t: F.expr("vec_id").bitwiseAND(F.pow(F.lit(2), t).cast("long")).cast("boolean").cast("double"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", similarity.masked_mean(tokens, mask).alias("v"))
+    return rows.select("vec_id", F.posexplode("v").alias("dim", "value"))
+
+
 _CLUSTERED = "clustered as (select docset_id, len(tokens) % 8 as cluster, sentence, min(frac) as frac from placed group by all)"
 
 

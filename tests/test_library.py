@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
+from gistmill.functions.stem import porter
 from gistmill.operators import lexrank, masking, ordering, realization, rouge, selection, similarity, tables, tfidf, vectors
 from gistmill.sources import files, newswire
 
@@ -71,6 +72,22 @@ def test_jaccard_and_rouge(spark, micro):
     assert rouge.same_ids(ids("a", "b"), ids("b", "a")) == 0 and rouge.same_ids(ids("a"), ids("b")) == 2
 
 
+def test_stems_and_limits(spark, micro):
+    pairs = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+        conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+        relational relat conditional condit rational ration valenci valenc digitizer digit vietnamization vietnam predication predic operator oper feudalism feudal
+        decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal
+        electriciti electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt
+        homologou homolog communism commun activate activ effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+    assert [porter(x) for x in pairs[::2]] == pairs[1::2]
+    assert [porter(x) for x in ("is", "don't", "naïve", "x1s")] == ["is", "don't", "naïve", "x1s"]
+    kind = "docset_id string, i int, tokens array<string>"
+    a, b = spark.createDataFrame([("A", 1, ["Dogs", "chased", "cats"]), ("A", 2, []), ("A", 3, None)], kind), spark.createDataFrame([("A", 1, ["dog", "chasing", "birds"])], kind).withColumnRenamed("i", "j")
+    found = lambda **how: {r["i"]: round(r["f"], 6) for r in rouge.scores(a, b, ["docset_id"], ["i"], ["j"], **how).collect()}
+    assert found() == {1: 0, 2: 0, 3: 0} and found(stem=True) == {1: 0.666667, 2: 0, 3: 0} and found(stem=True, n=2)[1] == 0.5
+    assert found(stem=True, limit=2)[1] == 1 and found(stem=True, limit=1)[1] == 1
+
+
 def test_text_functions(spark):
     one = lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
     assert one("WASHINGTON (AP) _ Gov. Smith  spoke (212) 555-0100 .", T.clean_paragraph) == " Governor Smith spoke  ."
