@@ -175,7 +175,7 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20, id_col: str
 
     The next document is that of the next id (ties by the text's hash), after the last the first; the edited text has its
     last floor(n/4) code points replaced by the first as many, or all, of the next one's. Buckets of neighbouring ids, of
-    about bucket_bytes each, come from a histogram of the ids; the first row of each bucket goes to the one before too.
+    about bucket_bytes each (or more, if sharding.MOST_BUCKETS don't suffice), come from a histogram of the ids; the first row of each bucket goes to the one before too.
     A null text is empty; two empty texts are alike (1), an empty and another are not (0); null ids come first; repeated
     rows each give a row; a single row is its own neighbour; an empty table gives none; other columns, even of clashing
     names, do no harm; a text of any length has its prefix arrays in memory at once, 16 bytes a code point.
@@ -188,7 +188,7 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20, id_col: str
     rows = plain.select(F.col(own).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), sharding.id_key(own).alias("high"), F.xxhash64(text_bytes(text)).alias("low"))
     keys = written(rows.select("high", "low", (F.length("text") + 64).cast("long").alias("size")), "neighbour-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = max(1, min(-(-total // bucket_bytes), sharding.MOST_BUCKETS))
     splitters = sharding.find_splitters(keys, 1, buckets, 0.1)
     bucketed = keys.withColumn("bucket", sharding.bucket_column(splitters, "high", "low"))
     heads = sorted((r["bucket"], r["head"]["high"], r["head"]["low"]) for r in bucketed.groupBy("bucket").agg(F.min(F.struct("high", "low")).alias("head")).collect())

@@ -22,6 +22,8 @@ from .common import drop_written, pick, ship, text_bytes, written
 _LOW = -(1 << 63)
 #: Rows between a splitter's bounds that are listed at most, to choose its place among them.
 LISTED = 64
+#: Buckets that the driver keeps boundaries of at most; beyond, buckets grow instead, and their tasks sort with spill.
+MOST_BUCKETS = 1 << 16
 
 
 @dataclass
@@ -172,7 +174,7 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
     Law "bytes": shards hold nearly equal sums of size, within `tolerance` of a shard and a row's size. Equal texts lie
     side by side, and in one shard if that moves its end by no more than `tolerance`; a larger group may go on in the next.
     Null and empty texts are one group; repeated rows each have a slot; a text of any length is one row of one shard. A shard is sorted in parts of about `part_bytes`,
-    one task each, so that the largest task stays as the data grow. Rows of equal text and id lie on one side of every boundary.
+    one task each, so that the largest task stays as the data grow, up to MOST_BUCKETS parts in all. Rows of equal text and id lie on one side of every boundary.
     Null ids sort first; an empty table gives no rows; the columns added are named _size, _shard and _slot if the input has
     their names, in any case of letters.
     """
@@ -185,7 +187,7 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
     rows = plain.withColumns({"high": F.xxhash64(text_bytes(text)), "low": id_key(own), "size": size})
     keys = written(rows.select("high", "low", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // (shards * part_bytes)))
+    parts = max(1, min(-(-total // (shards * part_bytes)), MOST_BUCKETS // shards))
     splitters = find_splitters(keys, shards, parts, tolerance, whole=True)
     drop_written(keys)
     base, at = [], 0
@@ -195,8 +197,9 @@ def shard(docs: DataFrame, shards: int = 24, part_bytes: int = 256 << 20, tolera
         at += n
     placed = rows.withColumn("bucket", bucket_column(splitters, "high", "low")).repartitionById(shards * parts, "bucket")  # a task a bucket: by hash, several would meet in one
     order = Window.partitionBy("bucket").orderBy("high", "low")
-    slot = F.row_number().over(order).cast("long") - 1 + F.element_at(F.lit(base).cast("array<bigint>"), F.col("bucket") + 1)
+    numbered = placed.withColumn("place", F.row_number().over(order).cast("long") - 1)
+    numbered = numbered.join(F.broadcast(spark.createDataFrame(list(enumerate(base)), "bucket int, base long")), "bucket")  # shards or MOST_BUCKETS rows at most
     taken = {x.lower() for x in names}
     added = [f"_{x}" if x in taken else x for x in ("size", "shard", "slot")]
-    out = placed.withColumns({"shard": F.floor(F.col("bucket") / parts).cast("int"), "slot": slot})
+    out = numbered.withColumns({"shard": F.floor(F.col("bucket") / parts).cast("int"), "slot": F.col("place") + F.col("base")})
     return out.select(*plain.columns, "size", "shard", "slot").toDF(*names, *added)
