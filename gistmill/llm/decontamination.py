@@ -200,7 +200,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE
     """id_col, item_id and score (0 to 1) of each text and item whose best alignment scores `least` or more; no shuffle of texts.
 
     Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words; equal items each match; null ids,
-    repeated rows and texts of any length each are searched; without items or documents there are no rows.
+    repeated rows and texts of any length each are searched; without items or documents there are no rows; other columns of
+    either table, even of clashing names, do no harm.
     """
     spark = docs.sparkSession
     ship(spark)

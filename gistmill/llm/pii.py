@@ -246,7 +246,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns id_col, n_email, n_ip, n_card, n_phone, base_spans and spans ("kind:start:end", code points, end exclusive,
     comma-joined by start and then kind) and redacted (the text with each span replaced by its kind in angle brackets).
     A null text has no spans and stays null; an empty text has none; repeated rows and null ids each give a row; an empty
-    table gives none. Any length of text is walked once.
+    table gives none; other columns, even of clashing names, do no harm. Any length of text is walked once.
     """
     ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))

@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score (0 to 1, the probability of label 1) of every row, without a shuffle.
 
-    Null texts count as empty and get a score; null ids, repeated rows and long texts each give a row; an empty table none.
+    Null texts count as empty and get a score; null ids, repeated rows and texts of any length each give a row; an empty
+    table gives none; other columns, even of clashing names, do no harm.
     """
     spark = docs.sparkSession
     ship(spark)

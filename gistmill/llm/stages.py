@@ -63,7 +63,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text decoded from them, of every document; a null text is empty."""
+    """doc_id, n_tokens, ids and the text decoded from them, of every document; a null text is empty. Repeated rows
+    and null ids each give a row, texts of any length are encoded whole, an empty table gives none; other columns, even of
+    clashing names, do no harm."""
     return bpe.encode(docs, VOCABULARY, PATTERN)
 
 

@@ -237,7 +237,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of 13 consecutive words that covers it also starts in a document of a smaller id; windows are
     judged on the input. Words are split at ASCII white space and compared as they are, by 64-bit hashes of windows. Null
     and empty texts have no words; texts under 13 words lose none; repeats within a document stay; rows of a null id lose
-    nothing and take nothing; rows of one id are judged by their own texts; an empty table gives no rows.
+    nothing and take nothing; rows of one id are judged by their own texts; an empty table gives no rows; other columns, even of
+    clashing names, do no harm; a text of any length is judged whole, with its words' hashes in memory at once.
     """
     spark = docs.sparkSession
     ship(spark)

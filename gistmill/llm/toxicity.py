@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     """id_col and score (0 to 1, the probability of label 1) of every row, without a shuffle.
 
     A null or empty text has no features and gets the bias's score; null ids, repeated rows and texts of any length each
-    give a row; an empty table gives none.
+    give a row; an empty table gives none; other columns, even of clashing names, do no harm.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -506,3 +506,233 @@ def test_leaks_of_short_runs(spark):
 
 def test_no_rows_for_an_empty_schema(spark):
     assert spark.createDataFrame([], SCHEMA).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark, docs, rows):
+    """Every operator over the awkward rows, one text of which has some 30,000 words, with clashing columns beside."""
+    labels = spark.createDataFrame([(i, int(k % 3 > 0), int(k % 4 == 0), "clash") for k, (i, _) in enumerate(rows)] + [(None, None, None, None)], "doc_id long, quality int, toxic int, Quality string")
+    ids = sorted(i for i, _ in rows)
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        plain = labels.toDF("doc_id", "quality", "toxic", "other")
+        found = module.score(docs, module.fit(docs, plain, label)).collect()
+        assert sorted(r["doc_id"] for r in found) == ids and all(0 <= r["score"] <= 1 for r in found)
+    item = next(t for _, t in rows if t and len(t) > 100_000).split()[20_000:20_040]
+    bench = spark.createDataFrame([(1, " ".join(item), None, "x"), (None, None, None, None)], "item_id long, text string, Text string, doc_id string")
+    bench = bench.toDF("item_id", "text", "other", "doc_id")
+    assert {(r["item_id"], r["score"]) for r in decontamination.find_leaks(docs, bench).collect()} >= {(1, 1.0)}
+
+
+# ---- plain versions of what has no SQL ------------------------------------------------------------------------------
+
+
+def test_learning_against_plain_code():
+    """FTRL coordinate by coordinate, with dictionaries."""
+    random = np.random.default_rng(4)
+    examples = [(np.unique(random.integers(0, 40, int(random.integers(1, 12)))).astype(np.int32), int(random.random() < 0.4)) for _ in range(300)]
+    rate, beta, l1, l2, heavier = 1.0, 1.0, 8.0, 0.1, 2.0
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / rate)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / rate + l2)
+
+    for _ in range(3):
+        for at, y in examples:
+            active = [*at.tolist(), "bias"]
+            w = {i: weight(i) for i in active}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (heavier if y else 1)
+            for i in active:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rate * w[i]
+                n[i] += g * g
+    at, weights, bias = toxicity.train(examples)
+    plain = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(at.tolist(), np.round(weights, 9).tolist(), strict=True)) == {i: round(x, 9) for i, x in plain.items()} and plain
+    assert abs(bias - weight("bias")) < 1e-9
+
+
+def test_features_against_plain_code():
+    """Equal features share a coordinate, across texts and cases; a text's are its distinct words, pairs and skip-pairs."""
+    texts = ["Alpha beta, alpha GAMMA", "beta alpha", "", "gamma delta alpha beta", "über b über"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)]).astype(np.int64)
+    at, bounds = toxicity.distinct(*toxicity.occurrences(raw, offsets), len(texts))
+    named = {}
+    for k, text in enumerate(texts):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+        own = {*w, *zip(w, w[1:], strict=False), *((a, "_", b) for a, b in zip(w, w[2:], strict=False))}
+        assert bounds[k + 1] - bounds[k] == len(own)
+        for x in own:
+            named.setdefault(x, []).append(set(at[bounds[k] : bounds[k + 1]].tolist()))
+    assert all(set.intersection(*sets) for sets in named.values())
+
+
+def test_statistics_against_plain_code(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    x = quality.statistics(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]).astype(np.int64))
+    at = {name: k for k, name in enumerate(quality.STATISTICS)}
+    for text, row in zip(texts, x, strict=True):
+        words, lines = text.split(), text.split(b"\n") if text else []
+        length = [len(w) for w in words] or [0]
+        share = lambda chars: sum(c in chars for c in text) / max(len(text), 1)  # noqa: E731, B023
+        plain = {
+            "log_bytes": math.log1p(len(text)), "log_words": math.log1p(len(words)), "log_lines": math.log1p(len(lines)), "share_upper": share(range(65, 91)), "share_digit": share(range(48, 58)),
+            "share_stop": share(b".?"), "share_lead": share(range(192, 256)), "share_blank": share(b" "), "word_mean": np.mean(length), "word_deviation": np.std(length), "word_longest": max(length),
+            "short_words": sum(n <= 3 for n in length if words) / max(len(words), 1), "distinct_words": len({w.lower() for w in words}) / max(len(words), 1),
+            "distinct_lines": len(set(lines)) / max(len(lines), 1), "line_words": len(words) / max(len(lines), 1), "upper_starts": sum(65 <= w[0] <= 90 for w in words) / max(len(words), 1),
+        }
+        assert np.allclose([row[at[k]] for k in plain], list(plain.values()), atol=1e-6), (text[:50], plain)
+
+
+def test_first_tree_against_plain_code():
+    """The first split of the first tree is the best of every cut of every column."""
+    random = np.random.default_rng(6)
+    x = random.normal(size=(400, 4))
+    y = (x[:, 2] + 0.3 * random.normal(size=400) > 0.4).astype(float)
+    found = quality.Trees(depth=1, rounds=1).fit(x, y)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = (0, 0, 0)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+            left = x[:, j] <= cut
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+            best = max(best, (gain, j, cut))
+    left = x[:, best[1]] <= best[2]
+    assert (found.feature[0, 0], found.bound[0, 0]) == best[1:]
+    assert np.allclose(found.leaf[0], [-0.15 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
+def test_placement_against_plain_code(spark):
+    """Shards are runs of the order by (hash of text, id), whose ends lie as near to equal bytes as whole rows allow."""
+    text = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 1 + cast(id % 23 as int)) as text")
+    found = sharding.shard(text, shards=7).withColumn("high", F.xxhash64(F.encode("text", "utf-8"))).orderBy("high", "doc_id").collect()
+    total, below, ends = sum(r["size"] for r in found), 0, []
+    for r, after in zip(found, [*found[1:], None], strict=True):
+        below += r["size"]
+        if after is None or after["shard"] != r["shard"]:
+            ends.append((r["shard"], below))
+    assert [s for s, _ in ends] == list(range(7))
+    most = max(r["size"] for r in found)
+    assert all(abs(end - total * (s + 1) / 7) <= total / 7 * 0.002 + most for s, end in ends)
+    number = collections.Counter()
+    for r in found:
+        assert r["slot"] == number[r["shard"]]
+        number[r["shard"]] += 1
+
+
+def test_few_buckets_hold_the_same_rows(spark, monkeypatch):
+    """Where boundaries reach the driver's bound, parts and buckets grow; rows stay the same."""
+    text = spark.range(2000).selectExpr("id as doc_id", "repeat(cast(id as string), 1 + cast(id % 23 as int)) as text")
+    many = sorted(map(tuple, sharding.shard(text, shards=3, part_bytes=1000).select("doc_id", "shard", "slot").collect()))
+    prints = sorted(map(tuple, fingerprints.compare_neighbours(text, bucket_bytes=1000).collect()))
+    monkeypatch.setattr(sharding, "MOST_BUCKETS", 6)
+    few = sorted(map(tuple, sharding.shard(text, shards=3, part_bytes=1000).select("doc_id", "shard", "slot").collect()))
+    assert len(few) == len(many) == 2000 and sum(a == b for a, b in zip(few, many, strict=True)) > 1900
+    assert sorted(map(tuple, fingerprints.compare_neighbours(text, bucket_bytes=1000).collect())) == prints
+
+
+def test_likeness_against_plain_code():
+    random = np.random.default_rng(3)
+    for _ in range(200):
+        a = "".join(random.choice(list("abcdé"), int(random.integers(0, 300))))
+        cut = sorted(random.integers(0, len(a) + 1, 2).tolist())
+        b = a[: cut[0]] + "".join(random.choice(list("xyz"), int(random.integers(0, 30)))) + a[cut[1] :]
+        head = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        tail = next((k for k in range(min(len(a), len(b))) if a[-1 - k] != b[-1 - k]), min(len(a), len(b)))
+        on_grid = lambda n: max((int(g) for g in fingerprints.GRID if g <= n), default=0)
+        plain = 1.0 if a == b else min(min(on_grid(head) + on_grid(tail), len(a), len(b)) / max(len(a), len(b)), 1 - 1e-9)
+        x, y = (fingerprints.Fingerprint(fingerprints.PrefixHash(fingerprints.codes(t))) for t in (a, b))
+        assert abs(fingerprints.likeness(x, y) - plain) < 1e-12, (a, b)
+
+
+# ---- the registered queries, over the whole of the smallest tables ----------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    return sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+
+
+def digest(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_query_of_personal_data(spark, whole):
+    found = {r["doc_id"]: r for r in queries.op1_pii_anchors(spark, SF).collect()}
+    assert len(found) == len(whole)
+    for i, t in whole:
+        spans = plain_spans(t)
+        assert [found[i][f"n_{kind}"] for kind in ("email", "ip", "card", "phone")] == [sum(k == j for _, k, _ in spans) for j in range(4)]
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans]
+        assert found[i]["base_sha256"] == digest(",".join(base)) and set(base) <= set(found[i]["spans"].split(",")) | {""}
+
+
+def test_query_of_shards(spark, whole):
+    found = {r["doc_id"]: r for r in queries.op3_histogram_shards(spark, SF).collect()}
+    assert set(found) == {i for i, _ in whole}
+    for i, t in whole:
+        assert (found[i]["size"], found[i]["text_crc32"], found[i]["law"], found[i]["grown_shard"]) == (len(t.encode()) + 8, zlib.crc32(t.encode()), "bytes", None)
+    slots = collections.defaultdict(list)
+    for r in found.values():
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) <= set(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_query_of_fingerprints(spark, whole):
+    found = {r["doc_id"]: r for r in queries.op4_prefix_fingerprints(spark, SF).collect()}
+    assert set(found) == {i for i, _ in whole}
+    own = lambda t: fingerprints.Fingerprint(fingerprints.PrefixHash(fingerprints.codes(t)))
+    for k, (i, t) in enumerate(whole):
+        after, tail = whole[(k + 1) % len(whole)][1], len(t) // 4
+        edited = t[: len(t) - tail] + after[:tail]
+        a, b, c = own(t), own(edited), own(after)
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), digest(edited), str(a), str(b))
+        assert abs(r["near_edited"] - fingerprints.likeness(a, b)) < 1e-12 and abs(r["near_next"] - fingerprints.likeness(a, c)) < 1e-12
+
+
+def test_query_of_tokens(spark, whole):
+    coder = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=bpe.read_ranks(queries.VOCABULARY), special_tokens={})
+    found = sorted(map(tuple, queries.op5_byte_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    ids = [(i, coder.encode_ordinary(t), t) for i, t in whole]
+    assert found == [(i, len(x), digest(" ".join(map(str, x))), digest(t)) for i, x, t in ids]
+
+
+def test_query_of_base_scores(spark, whole):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count = collections.Counter(w for i, t in whole if not held(i) for w in tokens_of(t.encode()))
+    n, v = sum(count.values()), len(count)
+    found = {r["doc_id"]: r for r in queries.op7_context_tree(spark, SF).collect()}
+    assert set(found) == {i for i, _ in whole}
+    for i, t in whole:
+        words, r = tokens_of(t.encode()), found[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(words), sum(count[w] > 0 for w in words), n)
+        assert abs(r["base_score"] - sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) < 1e-4 and r["score"] < 0
+
+
+def test_query_of_leaks(spark, whole):
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    items = [(r["item_id"], split(r["text"] or "")) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    found = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in queries.op8_decontamination(spark, SF).collect()}
+    plain = {}
+    for i, t in whole:
+        words = split(t)
+        held = collections.Counter(words)
+        for k, item in items:
+            # too few common words bound the score, so the alignment may be left out
+            if len(item) >= 3 and sum((collections.Counter(item) & held).values()) >= decontamination.LEAST_SCORE * len(item):
+                score = plain_alignment(item, words)
+                if score >= decontamination.LEAST_SCORE:
+                    plain[i, k] = round(score, 6)
+    assert found == plain and plain
+
+
+@pytest.mark.parametrize("name,least", [("op6_toxicity_ftrl", 0.5), ("op10_quality_trees", 0.3)])
+def test_queries_of_classifiers(spark, whole, name, least):
+    found = {r["doc_id"]: r for r in queries.queries()[name](spark, SF).collect()}
+    assert set(found) == {i for i, _ in whole}
+    for i, r in found.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
