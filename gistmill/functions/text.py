@@ -152,10 +152,28 @@ def detokenize(toks: Column) -> Column:
     return F.regexp_replace(out, r" ?(['’]) ?(s|t|re|ve|m|ll|d)\b", "$1$2")
 
 
-def detokenizer(choice: bool | Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """True stands for detokenize(), False for the tokens as they are."""
+#: Patterns that undo two public tokenizations of English, in order, with what takes their place. Contractions come twice,
+#: as two in a row share a blank.
+_CONTRACTED = (r"(?i) ('(?:s|m|d|ll|re|ve)|n't)( |$)", "$1$2")
+TREEBANK = (("`` ?", '"'), (" ?''", '"'), _CONTRACTED, _CONTRACTED, (r" ([.,;:?!%)\]}])", "$1"), (r"([(\[{$#]) ", "$1"))
+MOSES = (('" ([^"]*) "', '"$1"'), (r" ([,.?!:;%})\]])", "$1"), (r"([(\[{$¿¡]) ", "$1"), (" ('[A-Za-z])", "$1"))
+
+
+def rejoined(toks: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """Tokens as a line by TREEBANK (marked quotes become plain ones) or MOSES (every second quote closes)."""
+    out = F.array_join(toks, " ")
+    for pattern, by in patterns:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def detokenizer(choice: bool | str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """True stands for detokenize(), False for the tokens as they are, "treebank" and "moses" for the rules of that name."""
     if callable(choice):
         return choice
+    if isinstance(choice, str):
+        patterns = {"treebank": TREEBANK, "moses": MOSES}[choice]
+        return lambda toks: rejoined(toks, patterns)
     return detokenize if choice else (lambda x: x)
 
 

@@ -77,6 +77,12 @@ def converged(vectors: DataFrame, nodes: DataFrame, config: Config = Config()) -
 
     vectors: docset_id, doc_id, sent_idx, term, w; nodes: all sentences, also those without a vector.
     """
+    return grid(vectors, nodes, [config]).drop("setting")
+
+
+def grid(vectors: DataFrame, nodes: DataFrame, configs: list[Config]) -> DataFrame:
+    """setting (the place of a configuration), docset_id, doc_id, sent_idx, score: converged() under each configuration, from
+    one similarity matrix a docset."""
     packed = nodes.select("docset_id", "doc_id", "sent_idx").join(vectors.groupBy("docset_id", "doc_id", "sent_idx").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")), ["docset_id", "doc_id", "sent_idx"], "left")
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,13 +94,13 @@ def converged(vectors: DataFrame, nodes: DataFrame, config: Config = Config()) -
         np.add.at(dense, (at, column), [w for ws in rows.ws if ws is not None for w in ws])
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
         dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
-        rows["score"] = power_method(dense @ dense.T, config)
-        return rows[["docset_id", "doc_id", "sent_idx", "score"]]
+        near, keys = dense @ dense.T, rows[["docset_id", "doc_id", "sent_idx"]]
+        return pd.concat([keys.assign(setting=k, score=power_method(near, config)) for k, config in enumerate(configs)])[["setting", "docset_id", "doc_id", "sent_idx", "score"]]
 
-    return packed.groupBy("docset_id").applyInPandas(rank, "docset_id string, doc_id long, sent_idx int, score double")
+    return packed.groupBy("docset_id").applyInPandas(rank, "setting int, docset_id string, doc_id long, sent_idx int, score double")
 
 
-def ranked(scores: DataFrame) -> DataFrame:
+def ranked(scores: DataFrame, by: tuple[str, ...] = ("docset_id",)) -> DataFrame:
     """rank from 0 by falling score, ties by place."""
-    order = Window.partitionBy("docset_id").orderBy(F.round("score", 9).desc(), "doc_id", "sent_idx")
+    order = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "doc_id", "sent_idx")
     return scores.withColumn("rank", F.row_number().over(order) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
 from gistmill.operators import masking, realization, rouge, selection
-from gistmill.plans.registry import query
+from gistmill.plans.registry import query, quoted
 from gistmill.plans.texts import docs, lead_sents, read, sents
 from gistmill.sources import files
 
@@ -98,6 +98,30 @@ def _(spark, sf_dir):
     return rouge.report_lines(table).where(~F.col("file").startswith("Average_"))
 
 
+@query("rouge_report_averages", f"with {_score_sql(1)}, m as (select method, avg(p) as p, avg(r) as r, avg(f) as f from scored1 group by method) select method, 'rouge-1' as rouge, 'Average_' || x as file, printf('%s ROUGE-1 Average_%s %6.5f', method, x, v) as line from (select method, unnest(['P', 'R', 'F']) as x, unnest([p, r, f]) as v from m)")
+def _(spark, sf_dir):
+    table = scores(spark, sf_dir, 1).select("method", F.lit("rouge-1").alias("rouge"), F.concat_ws(".", "docset_id", "doc_id").alias("file"), "p", "r", "f")
+    return rouge.report_lines(table).where(F.col("file").startswith("Average_"))
+
+
+def _rejoined_sql(patterns) -> str:
+    out = "array_to_string(tokens, ' ')"
+    for pattern, by in patterns:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by.replace('$', chr(92)))}, 'g')"
+    return out
+
+
+#: Tokens of sentences by the library's contract, put between quotes that both rules know.
+_MARKED = "select doc_id, sent_idx, list_concat(['``', '\"'], tokens, ['is', 'n''t', '\"', '''s', '''''']) as tokens from sents"
+
+
+@query("detokenized", f"select doc_id, sent_idx, {_rejoined_sql(T.TREEBANK)} as treebank, {_rejoined_sql(T.MOSES)} as moses from ({_MARKED})")
+def _(spark, sf_dir):
+    around = lambda *x: F.array(*map(F.lit, x))
+    marked = sents(spark, sf_dir).select("doc_id", "sent_idx", F.concat(around("``", '"'), "tokens", around("is", "n't", '"', "'s", "''")).alias("tokens"))
+    return marked.select("doc_id", "sent_idx", T.detokenizer("treebank")(F.col("tokens")).alias("treebank"), T.detokenizer("moses")(F.col("tokens")).alias("moses"))
+
+
 def _loo_sql(n: int) -> str:
     return f"""own as materialized ({_grams("sents", "docset_id, doc_id, sent_idx", n)}), whole as (select doc_id, gram, sum(c) as doc_c from own group by all), tot as (select distinct doc_id, sent_idx, total from own), size as (select doc_id, sum(total) as doc_total from tot group by doc_id),
     sh as (select doc_id, sent_idx, sum(least(c, doc_c - c)) as shared from own join whole using (doc_id, gram) group by all),

@@ -108,8 +108,8 @@ def with_tables(sql: str) -> str:
         if re.search(rf"\b(from|join) {name}\b", sql):
             add(name)
     body = sql.strip()
-    own = body[5:] if body.lower().startswith("with ") else None
+    start = re.match(r"with (recursive )?", body, re.IGNORECASE)
     ctes = [f"{x} as materialized ({TABLES[x]})" for x in wanted]
-    if own is not None:
-        return "with " + ", ".join([*ctes, own])
+    if start:
+        return start[0] + ", ".join([*ctes, body[start.end() :]])
     return ("with " + ", ".join(ctes) + " " if ctes else "") + body

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gistmill.operators import lexrank, ordering, selection, similarity, tables, tfidf, vectors
 from gistmill.plans.registry import query
 from gistmill.plans.texts import content, read, sents, vectors_of
+from gistmill.sources import files
 
 #: Least cosine of an edge in these queries.
 LEAST = 0.3
@@ -63,6 +64,37 @@ for _mode in ("documented", "as_implemented"):
         return lexrank.fixed_iterations(nodes, edges, 3, mode=mode).select("docset_id", node("i").alias("i"), "score")
 
 
+_CONVERGED = """with recursive nodes as (select docset_id, doc_id * 1000000 + sent_idx as i, cast(count(*) over (partition by docset_id) as double) as n from sents),
+    step as materialized (select docset_id, i as f, j as i, w / sum(w) over (partition by docset_id, i) as p from edges),
+    linked as materialized (select distinct docset_id, i, 1 as linked from edges),
+    walk as (select 0 as k, docset_id, i, n, linked, 1 / n as score from nodes left join linked using (docset_id, i)
+        union all select k + 1, s.docset_id, s.i, n, linked, {0} * whole / n + (1 - {0}) * (coalesce(got, 0) + loose / n) from
+            (select *, sum(score) over (partition by docset_id) as whole, sum(case when linked is null then score else 0 end) over (partition by docset_id) as loose from walk where k < {1}) s
+            left join (select step.docset_id, step.i, sum(p * score) as got from step join walk on step.docset_id = walk.docset_id and step.f = walk.i group by all) g on s.docset_id = g.docset_id and s.i = g.i),
+    done as (select docset_id, i, score / max(score) over (partition by docset_id) as score from walk where k = {1})"""
+#: Dampening factors of a grid, and the steps after which scores no longer change in sixteen places.
+GRID, STEPS = (0.15, 0.3, 0.5), {0.15: 240, 0.3: 110, 0.5: 60}
+
+
+def exact(dampening: float = 0.15) -> lexrank.Config:
+    return lexrank.Config(threshold=LEAST, error=1e-15, dampening=dampening, max_iterations=STEPS[dampening])
+
+
+@query("lexrank_converged", _CONVERGED.format(0.15, STEPS[0.15]) + " select docset_id, i, round(score, 6) + 0.0 as score from done")
+def _(spark, sf_dir):
+    found = lexrank.converged(vectors_of(spark, sf_dir), sents(spark, sf_dir), exact())
+    return found.select("docset_id", node_key().alias("i"), "score")
+
+
+@query(
+    "lexrank_grid",
+    "with recursive " + ", ".join(f"g{k} as (select * from ({_CONVERGED.format(d, STEPS[d])} select {k} as setting, docset_id, i, score from done))" for k, d in enumerate(GRID)) + " select setting, docset_id, round(stddev_pop(score), 6) + 0.0 as deviation, round(min(score), 6) + 0.0 as least from (" + " union all ".join(f"select * from g{k}" for k in range(len(GRID))) + ") group by setting, docset_id",
+)
+def _(spark, sf_dir):
+    found = lexrank.grid(vectors_of(spark, sf_dir), sents(spark, sf_dir), [exact(d) for d in GRID])
+    return found.groupBy("setting", "docset_id").agg(F.stddev_pop("score").alias("deviation"), F.min("score").alias("least"))
+
+
 def ranked(spark, sf_dir):
     from gistmill.operators.steps import settled_table
 
@@ -191,11 +223,31 @@ def _(spark, sf_dir):
     return selection.concept_weights(selection.incidence(rows), tfidf.weights(counted, tfidf.idf(counted, "docset")))
 
 
-@query("ilp_summary")
-def _(spark, sf_dir):
+def ilp(spark, sf_dir):
     from gistmill.operators.steps import settled_table
 
     rows, every = content(spark, sf_dir), sents(spark, sf_dir)
     counted = tfidf.tf(rows, "docset")
     concepts = selection.concept_weights(selection.incidence(rows), tfidf.weights(counted, tfidf.idf(counted, "docset")))
     return selection.ilp_summary(every, settled_table(selection.incidence(rows)), settled_table(concepts))
+
+
+@query("ilp_summary")
+def _(spark, sf_dir):
+    return ilp(spark, sf_dir)
+
+
+@query("ilp_summary_files")
+def _(spark, sf_dir):
+    from gistmill.operators.steps import settled_table
+    from pyspark.sql import Window
+
+    every = sents(spark, sf_dir)
+    chosen = settled_table(ilp(spark, sf_dir)).join(every.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
+    order = Window.partitionBy("docset_id").orderBy("doc_id", "sent_idx")
+    return files.summary_texts(chosen.select("docset_id", F.row_number().over(order).alias("order_idx"), "tokens"), 5, "moses")
+
+
+@query("lexrank_summary_files")
+def _(spark, sf_dir):
+    return files.summary_texts(selection.greedy(ranked(spark, sf_dir)), 2, "treebank")

@@ -61,10 +61,22 @@ def read_summaries(spark: SparkSession, folder: str, encoding: str = "cp1252") -
     return rows.select("file", F.regexp_extract("file", r"^(.*)\.\w+$", 1).alias("base_id"), F.regexp_extract("file", r"\.(\w+)$", 1).alias("method"), "text")
 
 
-def read_golds(spark: SparkSession, folder: str) -> DataFrame:
-    """file, docset_id, text of gold summaries: lines joined by blanks; the docset is the name's stem and letter."""
-    lines = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.regexp_replace(F.regexp_replace("value", r"\n+$", ""), "\n", " ").alias("text"))
-    return lines.select("file", F.regexp_extract("file", r"^(D\d+[A-Z]?-[A-Z])", 1).alias("docset_id"), "text")
+def read_golds(spark: SparkSession, folder: str, escapes: bool = False) -> DataFrame:
+    """file, docset_id, text of gold summaries: lines joined by blanks; the docset is the name's stem and letter. With escapes,
+    bytes are Latin-1 in which a backslash starts an escape; a text with a broken one stays as it is."""
+
+    @F.pandas_udf("string")
+    def decoded(content):
+        def one(raw):
+            try:
+                return bytes(raw).decode("unicode_escape" if escapes else "utf-8")
+            except UnicodeDecodeError:
+                return bytes(raw).decode("latin-1")
+
+        return content.map(one)
+
+    rows = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), decoded("content").alias("text"))
+    return rows.select("file", F.regexp_extract("file", r"^(D\d+[A-Z]?-[A-Z])", 1).alias("docset_id"), F.regexp_replace(F.regexp_replace("text", r"\n+$", ""), "\n", " ").alias("text"))
 
 
 def write_texts(rows: DataFrame, path: str, key: str = "file", text: str = "text") -> None:
@@ -72,10 +84,10 @@ def write_texts(rows: DataFrame, path: str, key: str = "file", text: str = "text
     rows.select(key, text).write.partitionBy(key).text(path)
 
 
-def summary_texts(sents: DataFrame, method: int) -> DataFrame:
-    """file, text: the chosen sentences (docset_id, order_idx, tokens) of each docset, a line each."""
+def summary_texts(sents: DataFrame, method: int, style: bool | str = True) -> DataFrame:
+    """file, text: the chosen sentences (docset_id, order_idx, tokens) of each docset, a line each, made by T.detokenizer(style)."""
     packed = F.array_sort(F.collect_list(F.struct("order_idx", "tokens")))
-    lines = F.array_join(F.transform(packed, lambda x: T.detokenize(x["tokens"])), "\n")
+    lines = F.array_join(F.transform(packed, lambda x: T.detokenizer(style)(x["tokens"])), "\n")
     return sents.groupBy("docset_id").agg(lines.alias("text")).select(T.summary_file_name(F.col("docset_id"), F.lit(str(method))).alias("file"), "text")
 
 

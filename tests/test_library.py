@@ -253,3 +253,68 @@ def test_ilp_query_searches_as_far_as_the_operator(spark, monkeypatch):
     monkeypatch.setattr(selection, "ilp_summary", lambda *a, **named: given.append((len(a), named)) or spark.range(1))
     registry.queries()["ilp_summary"](spark, "/root/testdata/sf0.001")
     assert given == [(3, {})]
+
+
+def test_detokenizers_and_golds(spark, tmp_path):
+    one = lambda style, *toks: spark.range(1).select(T.detokenizer(style)(F.array(*map(F.lit, toks)))).first()[0]
+    assert one("treebank", "``", "I", "'d", "'ve", "gone", ",", "''", "she", "did", "n't", "say", "(", "now", ")", ".") == '"I\'d\'ve gone," she didn\'t say (now).'
+    assert one("moses", "He", "said", '"', "no", ",", "it", "'s", "fine", '"', "(", "twice", ")", "!") == 'He said "no, it\'s fine" (twice)!'
+    assert one("moses") == "" and one(False, "a", ".") == ["a", "."]
+    (tmp_path / "D1001-A.M.100.A.B").write_bytes(b"caf\\xe9 one\ntwo \\u2014 x\n")
+    (tmp_path / "D1002-B.M.100.B.C").write_bytes("broken \\x\n".encode())
+    found = {r["docset_id"]: r["text"] for r in files.read_golds(spark, str(tmp_path), escapes=True).collect()}
+    assert found == {"D1001-A": "café one two — x", "D1002-B": "broken \\x"}
+    assert {r["text"] for r in files.read_golds(spark, str(tmp_path)).collect()} == {"caf\\xe9 one two \\u2014 x", "broken \\x"}
+
+
+def test_greedy_against_plain_code(spark):
+    """Any chosen sentence may keep another out, not only the one before."""
+    random = np.random.default_rng(11)
+    vocab = [f"v{i}" for i in range(14)]
+    rows = [(f"D{d}", d, k, k, random.choice(vocab, int(random.integers(5, 13)), replace=False).tolist()) for d in range(12) for k in range(40)]
+    table = spark.createDataFrame(rows, "docset_id string, doc_id long, sent_idx int, rank int, tokens array<string>")
+    found = sorted((r["docset_id"], r["order_idx"], r["sent_idx"]) for r in selection.greedy(table, min_jaccard_dist=0.6).collect())
+    plain = []
+    for d in range(12):
+        chosen, used = [], 0
+        for _, _, k, _, toks in [r for r in rows if r[1] == d and len(r[4]) > 7][:25]:
+            near = any(1 - len(set(toks) & set(x)) / len(set(toks) | set(x)) <= 0.6 for x in chosen)
+            if used < 100 and not near and used + len(toks) <= 100:
+                plain.append((f"D{d}", len(chosen), k))
+                chosen.append(toks)
+                used += len(toks)
+    assert found == sorted(plain) and len(plain) > 12
+
+
+def test_summary_files_of_methods(spark):
+    from gistmill.plans import registry
+
+    for name, method in (("ilp_summary_files", "5"), ("lexrank_summary_files", "2")):
+        found = registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        assert found and all(r["file"].endswith("." + method) and r["text"] for r in found)
+
+
+def test_lsa_against_plain_code(spark):
+    random = np.random.default_rng(12)
+    dense = random.random((9, 6)) * (random.random((9, 6)) > 0.4)
+    dense[:, 0] += 0.1
+    rows = [("D", 1, i, f"t{j}", float(dense[i, j])) for i in range(9) for j in range(6) if dense[i, j]]
+    found = np.array([r["v"] for r in vectors.lsa(spark.createDataFrame(rows, "docset_id string, doc_id long, sent_idx int, term string, w double"), 3).orderBy("sent_idx").collect()])
+    values, directions = np.linalg.eigh(dense.T @ dense)
+    plain = dense @ directions[:, ::-1][:, :3]
+    assert np.allclose(np.abs(found), np.abs(plain)) and np.allclose((found**2).sum(0), values[::-1][:3])
+
+
+def test_clusters_against_every_assignment():
+    """Of points in two clear groups the best of all ways to cut them; of any others a cut that no single step betters, which is
+    all that k-means promises."""
+    random = np.random.default_rng(13)
+    for apart in (0.0, 6.0):
+        for _ in range(10):
+            points = random.normal(size=(8, 2)) + np.repeat([[0.0], [apart]], 4, axis=0)
+            cost = lambda own: sum(((points[own == c] - points[own == c].mean(0)) ** 2).sum() for c in set(own.tolist()))  # noqa: E731, B023
+            own = ordering.lloyd(points, 2)
+            centres = np.stack([points[own == c].mean(0) for c in (0, 1)])
+            assert (((points[:, None] - centres) ** 2).sum(2).argmin(1) == own).all()
+            if apart:
+                assert abs(cost(own) - min(cost(np.array([m >> i & 1 for i in range(8)])) for m in range(1, 128))) < 1e-9

@@ -6,7 +6,7 @@ import pytest
 from gistmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("sentence_split", "clean_paragraphs", "doc_id_date", "corpus_route", "tf_docset", "idf_documented", "tfidf_docset", "ngram_bigram", "lead_k", "graph_degree", "lexrank_fixed_documented", "order_summary", "rouge1", "gap_dataset", "reorder_prompt", "jaccard_neighbours", "summary_files", "rouge_config", "llm_records", "copyright_filter", "rouge_report", "rouge1_limited", "summary_sentence_match", "masked_mean_pool", "tfidf_transform")
+NAMES = ("sentence_split", "clean_paragraphs", "doc_id_date", "corpus_route", "tf_docset", "idf_documented", "tfidf_docset", "ngram_bigram", "lead_k", "graph_degree", "lexrank_fixed_documented", "order_summary", "rouge1", "gap_dataset", "reorder_prompt", "jaccard_neighbours", "summary_files", "rouge_config", "llm_records", "copyright_filter", "rouge_report", "rouge1_limited", "summary_sentence_match", "masked_mean_pool", "tfidf_transform", "lexrank_converged", "lexrank_grid", "detokenized", "rouge_report_averages")
 
 
 @pytest.fixture(scope="module")
