@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -24,7 +24,7 @@ def gram_counts(texts: DataFrame, keys: list[str], n: int, stem: bool = False, l
     words = words if limit is None else F.slice(words, 1, limit)
     grams = texts.select(*keys, F.explode(T.ngrams(stems(words) if stem else words, n, padded=False)).alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("c"))
-    return counts.join(counts.groupBy(*keys).agg(F.sum("c").alias("total")), keys)
+    return counts.withColumn("total", F.sum("c").over(Window.partitionBy(*keys)))
 
 
 def f_score(p: Column, r: Column) -> Column:
@@ -34,12 +34,11 @@ def f_score(p: Column, r: Column) -> Column:
 def scores(summaries: DataFrame, references: DataFrame, on: list[str], summary: list[str], reference: list[str], n: int = 1, stem: bool = False, limit: int | None = None) -> DataFrame:
     """on, summary, reference, p, r, f of every summary and reference of one `on`; pairs without a shared n-gram score 0."""
     a, b = gram_counts(summaries, [*on, *summary], n, stem, limit), gram_counts(references, [*on, *reference], n, stem, limit)
-    totals = lambda x, keys, name: x.groupBy(*on, *keys).agg(F.first("total").alias(name))
-    shared = a.select(*on, *summary, "gram", F.col("c").alias("ca")).join(b.select(*on, *reference, "gram", F.col("c").alias("cb")), [*on, "gram"])
-    shared = shared.groupBy(*on, *summary, *reference).agg(F.sum(F.least("ca", "cb")).alias("shared"))
+    met = a.select(*on, *summary, "gram", F.col("c").alias("ca"), F.col("total").alias("na")).join(b.select(*on, *reference, "gram", F.col("c").alias("cb"), F.col("total").alias("nb")), [*on, "gram"])
+    shared = met.groupBy(*on, *summary, *reference).agg(F.sum(F.least("ca", "cb")).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     pairs = summaries.select(*on, *summary).join(references.select(*on, *reference), on)
-    met = pairs.join(shared, [*on, *summary, *reference], "left").join(totals(a, summary, "na"), [*on, *summary], "left").join(totals(b, reference, "nb"), [*on, *reference], "left")
-    ratio = lambda total: F.when(F.col(total) > 0, F.coalesce("shared", F.lit(0)) / F.col(total)).otherwise(0.0)
+    met = pairs.join(shared, [*on, *summary, *reference], "left")
+    ratio = lambda total: F.coalesce(F.col("shared") / F.col(total), F.lit(0.0))
     return met.select(*on, *summary, *reference, ratio("na").alias("p"), ratio("nb").alias("r")).withColumn("f", f_score(F.col("p"), F.col("r")))
 
 
@@ -47,15 +46,15 @@ def leave_one_out(sents: DataFrame, n: int = 1) -> DataFrame:
     """docset_id, doc_id, sent_idx, p, r, f of each sentence against the rest of its document, whose counts are the
     document's less its own. N-grams do not run over sentence ends."""
     keys = ["docset_id", "doc_id", "sent_idx"]
-    own = gram_counts(sents, keys, n)
-    whole = own.groupBy("docset_id", "doc_id", "gram").agg(F.sum("c").alias("doc_c"))
-    totals = own.groupBy(*keys).agg(F.first("total").alias("total"))
-    size = totals.groupBy("docset_id", "doc_id").agg(F.sum("total").alias("doc_total"))
-    shared = own.join(whole, ["docset_id", "doc_id", "gram"]).groupBy(*keys).agg(F.sum(F.least(F.col("c"), F.col("doc_c") - F.col("c"))).alias("shared"))
-    met = sents.select(*keys).join(totals, keys, "left").join(size, ["docset_id", "doc_id"], "left").join(shared, keys, "left")
+    doc = ["docset_id", "doc_id"]
+    own = gram_counts(sents.repartition(*doc), keys, n)  # a document's sentences stay together from here on
+    counted = own.withColumns({"doc_c": F.sum("c").over(Window.partitionBy(*doc, "gram")), "doc_total": F.sum("c").over(Window.partitionBy(*doc))})
+    least = F.least(F.col("c"), F.col("doc_c") - F.col("c"))
+    shared = counted.groupBy(*keys).agg(F.sum(least).alias("shared"), F.max("total").alias("total"), F.max("doc_total").alias("doc_total"))
+    met = sents.select(*keys).join(shared, keys, "left")
     rest = F.col("doc_total") - F.col("total")
-    p = F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(0.0)
-    r = F.when(rest > 0, F.coalesce("shared", F.lit(0)) / rest).otherwise(0.0)
+    p = F.coalesce(F.col("shared") / F.col("total"), F.lit(0.0))
+    r = F.when(rest > 0, F.col("shared") / rest).otherwise(0.0)
     return met.select(*keys, p.alias("p"), r.alias("r")).withColumn("f", f_score(F.col("p"), F.col("r")))
 
 
