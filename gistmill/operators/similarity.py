@@ -12,9 +12,9 @@ def cosine_edges(vectors: DataFrame, threshold: float = 0.0) -> DataFrame:
     An equi-join on docset and term; only i < j is computed. A docset is the bound of the pairs.
     """
     node = F.struct("doc_id", "sent_idx")
-    v = vectors.select("docset_id", "term", node.alias("node"), "w")
-    norms = v.groupBy("docset_id", "node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    unit = v.join(norms, ["docset_id", "node"]).select("docset_id", "term", "node", (F.col("w") / F.col("norm")).alias("u"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docset_id", "doc_id", "sent_idx")))
+    v = vectors.withColumn("norm", norm).where("norm > 0")
+    unit = v.select("docset_id", "term", node.alias("node"), (F.col("w") / F.col("norm")).alias("u"))
     left, right = unit.withColumnsRenamed({"node": "i", "u": "a"}), unit.withColumnsRenamed({"node": "j", "u": "b"})
     half = left.join(right, ["docset_id", "term"]).where("i < j").groupBy("docset_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("w")).where(F.col("w") >= threshold)
     return half.select("docset_id", F.explode(F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "w"))).alias("e")).select("docset_id", "e.i", "e.j", "e.w")
