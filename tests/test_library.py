@@ -318,3 +318,21 @@ def test_clusters_against_every_assignment():
             assert (((points[:, None] - centres) ** 2).sum(2).argmin(1) == own).all()
             if apart:
                 assert abs(cost(own) - min(cost(np.array([m >> i & 1 for i in range(8)])) for m in range(1, 128))) < 1e-9
+
+
+def test_trimmed_and_written_texts(spark, tmp_path):
+    rows = [("D", k, ["w"] * n) for k, n in enumerate((5, 4, 3))]
+    trimmed = selection.trim_summary(spark.createDataFrame(rows, "docset_id string, order_idx int, tokens array<string>"), 9)
+    assert sorted(r["order_idx"] for r in trimmed.collect()) == [0, 1]
+    sents = spark.createDataFrame([("D", 1, 0, "a"), ("D", 1, 1, "b"), ("D", 2, 0, "c")], "docset_id string, doc_id long, sent_idx int, sentence string")
+    assert {(r["sentence"], r["previous"]) for r in ordering.positions_before(sents).collect()} == {("a", None), ("b", "a"), ("c", None)}
+    files.write_texts(spark.createDataFrame([("x.1", "one"), ("x.2", "two\nlines")], "file string, text string"), str(tmp_path / "out"))
+    assert {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("file=*/*.txt")} == {"file=x.1": "one\n", "file=x.2": "two\nlines\n"}
+    assert set(vectors.STRATEGIES) == {"lsa", "words", "encoder"}
+
+
+def test_one_file_of_each_document(spark):
+    listing = spark.createDataFrame([("/a/APW19980101.0001.xml",), ("/b/NYT19990202.0002.xml",), ("/c/NYT19990202.0002.gz",)], "path string")
+    wanted = spark.createDataFrame([("APW19980101.0001",), ("NYT19990202.0002",), ("XIE20000101.0003",)], "doc_id string")
+    found = {r["doc_id"]: (r["path"], r["files"]) for r in newswire.only_file(listing, wanted).collect()}
+    assert found == {"APW19980101.0001": ("/a/APW19980101.0001.xml", 1), "NYT19990202.0002": ("/b/NYT19990202.0002.xml", 2), "XIE20000101.0003": (None, 0)}
