@@ -9,7 +9,6 @@ Base kinds: email, ip, card, phone. Added kinds: account (IBAN of a plausible le
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -251,7 +250,3 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(with_text), _SCHEMA).withColumnRenamed("id", id_col)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
