@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +15,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 BLOCK_BYTES = 2 << 20
+#: Bytes of a batch that a pipeline stage sends to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes whose words are hashed at once.
 _HASHED_BYTES = 1 << 20
 #: Parts into which spread_join deals the rows of one key.
 SALTS = 256
+#: Bytes of batches after which a Python worker returns the memory that it has freed.
+_RETURN_BYTES = 8 << 20
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -40,6 +47,15 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of bounded bytes for Python workers, unless the session has a bound of its own.
+
+    By rows alone a batch of 10,000 texts is tens of MB, and the JVM's buffers for it and the worker's copies are several times that.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own on a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -124,6 +140,41 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Itera
         at = end
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+
+
+def return_memory() -> None:
+    """Give what Arrow and the C library have freed, and keep for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of Arrow batches or arrays, for workers that return freed memory as they go on and when they end.
+
+    A worker stays for later tasks, idle or not, and what it keeps counts beside the JVM, whose heap may be full by then.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        def fed() -> Iterator:
+            held = 0
+            for batch in batches:
+                if held >= _RETURN_BYTES:
+                    return_memory()
+                    held = 0
+                held += batch.nbytes
+                yield batch
+
+        try:
+            yield from run(fed())
+        finally:
+            return_memory()
+
+    return tidied
+
+
 # ---- word hashing -------------------------------------------------------------------------------------------------
 
 _MASK = (1 << 64) - 1

@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, grams, pick, ship, splitmix, text_bytes
+from .common import Words, blocks, grams, pick, returning, ship, splitmix, text_bytes
 from .toxicity import _APART as APART
 
 #: Words of a seed, of the shortest item that is searched for, and the least score of a leak.
@@ -182,6 +181,7 @@ def seeded(docs: DataFrame, items: Items, least: float = LEAST_SCORE) -> Items:
     """The block with its seeds chosen by counts over all of `docs` (columns id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    @returning
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value.keys), np.int64)
         for batch in batches:
@@ -241,13 +241,14 @@ def leak_score(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
 def _scorer(rows: DataFrame, items: Items, least: float):
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
-    @F.pandas_udf("double")
-    def best(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array([x or b"" for x in texts], pa.binary())], names=["text"])
-        out = np.zeros(len(texts))
-        for a, _, raw, offsets in blocks(batch, "text"):
-            text, _, score = shared.value.match(raw, offsets, least)
-            np.maximum.at(out, a + text, score)
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    @returning
+    def best(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            out = np.zeros(len(texts))
+            for a, _, raw, offsets in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+                text, _, score = shared.value.match(raw, offsets, least)
+                np.maximum.at(out, a + text, score)
+            yield pa.array(out)
 
     return best

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, drop_written, grams, list_array, pick, ship, splitmix, spread_join, text_bytes, tiled, written
+from .common import Words, blocks, drop_written, grams, list_array, pick, returning, ship, splitmix, spread_join, text_bytes, tiled, written
 from .graph import components
 
 #: Words of a shingle.
@@ -106,6 +106,7 @@ def _folded(sketch: np.ndarray, blocks_: int) -> np.ndarray:
     return sketch
 
 
+@returning
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in blocks(batch, "text"):
@@ -114,6 +115,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["id", "n", "d1", "d2"])
 
 
+@returning
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of each set; of equal sets in a task the first is enough, since equal sets are linked by their digests."""
     seen: set[bytes] = set()
@@ -135,6 +137,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(ids[at : at + 100_000], pa.int64())], names=["key", "id"])
 
 
+@returning
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, those whose key another row has; one row is held between batches."""
     key, own, given = None, None, False
@@ -165,6 +168,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+@returning
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, i, j, tile, id, label, n, sketch) sorted by the first three: pairs whose labels differ and whose sizes and sketches allow a link."""
     out: list[tuple[int, int]] = []
@@ -230,6 +234,7 @@ def count_links(sets: list[np.ndarray], weights: np.ndarray, tiles: np.ndarray |
     return out
 
 
+@returning
 def _link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (label, i, j, tile, id, copies, elements) sorted by the first three: (id, links) with sets met here."""
     ids, links = [], []
@@ -247,6 +252,7 @@ def _link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _member_sets(bits):
     """Sets and fine sketches of the texts whose ids may be wanted."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bits.value
         for batch in batches:

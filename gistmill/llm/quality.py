@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, pick, ship, text_bytes
+from .common import Words, blocks, pick, returning, ship, text_bytes
 
 #: Labelled rows that a classifier is fitted on at most: those whose hashed ids are least.
 SAMPLE_ROWS = 20_000
@@ -199,10 +198,11 @@ def score_column(spark: SparkSession, trees: Trees, text: Column) -> Column:
     ship(spark)
     model = spark.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array([x or b"" for x in texts], pa.binary())], names=["text"])
-        found = [model.value.score(statistics(raw, offsets)) for _, _, raw, offsets in blocks(batch, "text")]
-        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+    @F.arrow_udf("double")
+    @returning
+    def scored(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:  # as Arrow has them: a copy as Python objects would be as large again
+            found = [model.value.score(statistics(raw, offsets)) for _, _, raw, offsets in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return scored(text)

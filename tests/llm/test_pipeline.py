@@ -1,5 +1,11 @@
 """Each stage of the pipeline on its own input."""
 
+import gc
+import re
+from pathlib import Path
+
+import pyarrow as pa
+
 import corpus_pipeline
 from gistmill.llm import decontamination, jaccard, pii, queries
 
@@ -40,3 +46,37 @@ def test_stages_on_awkward_rows(spark):
         if k < 4:
             assert out.columns == docs.columns
             assert k == 3 or set(pairs(out)) <= set(pairs(docs))
+
+
+def test_workers_return_memory():
+    texts = pa.array([" ".join(f"w{(i * 7 + j * j) % 5000}" for j in range(300)) for i in range(10_000)], pa.binary())
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def run(step, batches):
+        for _ in step(pa.RecordBatch.from_arrays([pa.array(range(k, k + 10_000)), pa.concat_arrays([texts])], names=["id", "text"]) for k in range(batches)):
+            pass
+        gc.collect()
+
+    for step in (jaccard._set_rows, jaccard._key_rows):
+        run(step, 1)  # tables that stay
+        pa.default_memory_pool().release_unused()
+        before = held()
+        run(step, 3)
+        assert held() - before < 20
+
+
+def test_stages_bound_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    for own in (None, "1000000"):
+        session = spark.newSession()
+        if own:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+        docs = session.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('word ', 2000) text")
+        assert corpus_pipeline.STAGES[3][1](session, docs, SF).count() == 3000
+        most = docs.mapInArrow(sizes, "size long").agg({"size": "max"}).first()[0]
+        assert most < 1_100_000 if own else 2_000_000 < most < 5_000_000
