@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, ship
+from .common import pick, returning, ship
 
 #: Longest piece, in bytes, that shares a matrix with others; bounds of the length buckets.
 LONG, BUCKETS = 128, (4, 8, 16, 32, 64, 128)
@@ -271,6 +271,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     key = (vocabulary, pattern)
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(key, ranks.value, pattern)
         text_of = own.table.text_of.__getitem__
