@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.functions import split
 from gistmill.functions import text as T
 
+SENTENCES = (("docset_id", pa.string()), ("doc_id", pa.int64()), ("para_idx", pa.int32()), ("sent_idx", pa.int32()), ("sentence", pa.string()), ("tokens", pa.list_(pa.string())))
+
 
 def docset_documents(documents: DataFrame, size: int = 200) -> DataFrame:
     """docset_id (source and block of ids), doc_id, lang, text."""
@@ -22,10 +28,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """docset_id, doc_id, para_idx, sent_idx (from 0 within a document), sentence, tokens. One pass, no shuffle."""
-    plain = F.filter(F.transform(F.split("text", "\n"), T.clean_paragraph), lambda p: ~T.is_dropped(p))
-    nested = docs.select("docset_id", "doc_id", F.transform(plain, lambda p, i: F.transform(T.sentences(p), lambda s: F.struct(i.alias("para_idx"), s.alias("sentence")))).alias("found"))
-    flat = nested.select("docset_id", "doc_id", F.posexplode(F.flatten("found")).alias("sent_idx", "s"))
-    return flat.select("docset_id", "doc_id", "s.para_idx", "sent_idx", "s.sentence", T.tokens(F.col("s.sentence")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                out: list[list] = [[] for _ in SENTENCES]
+                for docset, doc, text in zip(*(x.to_pylist() for x in batch.slice(begin, 256).columns), strict=True):
+                    for at, (para, sentence) in enumerate(split.sentences(text)):
+                        for column, x in zip(out, (docset, doc, para, at, sentence, split.tokens(sentence)), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(out, SENTENCES, strict=True)], [name for name, _ in SENTENCES])
+
+    return docs.select("docset_id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "docset_id string, doc_id long, para_idx int, sent_idx int, sentence string, tokens array<string>")
 
 
 def first_documents(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,12 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
 def idf(tf_table: DataFrame, level: str, formula: str = "documented", delta: float = 0.7) -> DataFrame:
     """term, df, cf, idf. Formulas: documented, ratio, collection (counts all occurrences), constant (one unit in all)."""
     units = tf_table.select(*UNITS[level]).distinct().agg(F.count(F.lit(1)).cast("double").alias("units"))
-    counted = df(tf_table).join(F.broadcast(units))  # one row
+    return idf_of(df(tf_table), units, formula, delta)
+
+
+def idf_of(counts: DataFrame, units: DataFrame, formula: str = "documented", delta: float = 0.7) -> DataFrame:
+    """idf() of counts (term, df, cf) and a row with the number of units."""
+    counted = counts.join(F.broadcast(units))  # one row
     by = {
         "documented": T.idf_documented(F.col("units"), F.col("df"), delta),
         "ratio": T.idf_ratio(F.col("units"), F.col("df"), delta),
