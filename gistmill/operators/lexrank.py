@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.operators.steps import settled_table
+from gistmill.operators.similarity import half_edges
 
 
 @dataclass(frozen=True)
@@ -27,53 +27,72 @@ class Config:
             raise ValueError("mode is documented or as_implemented")
 
 
+class Walk:
+    """The walk over a docset's n sentences along edges i < j of weight w. Documented rows are divided by their sums (a node
+    without edges leads everywhere), as_implemented ones by the number of nodes. Only edges are held, never a matrix."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, mode: str = "documented"):
+        self.n = n
+        start, end, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
+        order = np.argsort(end, kind="stable")
+        self.start, self.w, sizes = start[order].astype(np.int32), w[order], np.bincount(end, minlength=n)
+        self.led = np.flatnonzero(sizes)  # nodes that edges lead to
+        self.begin = (np.cumsum(sizes) - sizes)[self.led]
+        total = np.zeros(n)
+        total[self.led] = np.add.reduceat(self.w, self.begin) if len(self.w) else 0.0
+        self.loose = total == 0 if mode == "documented" else np.zeros(n, bool)
+        self.w = self.w / (total[self.start] if mode == "documented" else n)
+
+    def step(self, p: np.ndarray, dampening: float) -> np.ndarray:
+        got = np.zeros(self.n)
+        if len(self.w):
+            got[self.led] = np.add.reduceat(self.w * p[self.start], self.begin)
+        return dampening * p.sum() / self.n + (1 - dampening) * (got + p[self.loose].sum() / self.n)
+
+    def fixed(self, steps: int, dampening: float = 0.15) -> np.ndarray:
+        """Scores over the largest after so many steps."""
+        p = np.full(self.n, 1 / self.n)
+        for _ in range(steps):
+            p = self.step(p, dampening)
+        return p / p.max()
+
+    def converged(self, config: Config) -> np.ndarray:
+        """Scores over the largest; one node gets 1."""
+        p = np.full(self.n, 1 / self.n)
+        for _ in range(config.max_iterations):
+            new = self.step(p, config.dampening)
+            done = np.linalg.norm(new - p) < config.error
+            p = new
+            if done:
+                break
+        return p / p.max()
+
+
+def by_rank(scores: np.ndarray) -> np.ndarray:
+    """Places by falling score, ties by place."""
+    return np.lexsort((np.arange(len(scores)), -np.round(scores, 9)))
+
+
 def fixed_iterations(nodes: DataFrame, edges: DataFrame, iterations: int, dampening: float = 0.15, mode: str = "documented") -> DataFrame:
-    """docset_id, i, score after so many steps, all by joins. nodes: docset_id, i. Documented rows are divided by their sums
-    (a node without edges leads everywhere), as_implemented ones by the number of nodes. Scores are over the largest."""
-    of_docset = Window.partitionBy("docset_id")
-    sized = nodes.select("docset_id", "i", F.count(F.lit(1)).over(of_docset).cast("double").alias("n"))
-    if mode == "documented":
-        step = edges.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("docset_id", "i")))
-    else:
-        step = edges.join(sized, ["docset_id", "i"]).withColumn("p", F.col("w") / F.col("n"))
-    step = step.select("docset_id", F.col("i").alias("from"), F.col("j").alias("i"), "p")
-    out = edges.select("docset_id", "i").distinct().withColumn("linked", F.lit(1))
-    scores = sized.join(out, ["docset_id", "i"], "left").withColumn("score", 1 / F.col("n"))
-    for k in range(iterations):
-        if k % 2:  # each step reads the scores twice, so without an end the plan would double with every step
-            scores = settled_table(scores)
-        sent = step.join(scores.select("docset_id", F.col("i").alias("from"), "score"), ["docset_id", "from"]).groupBy("docset_id", "i").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        everywhere = F.sum("score").over(of_docset) / F.col("n")
-        loose = F.sum(F.when(F.col("linked").isNull(), F.col("score")).otherwise(0.0)).over(of_docset) / F.col("n") if mode == "documented" else F.lit(0.0)
-        scores = scores.join(sent, ["docset_id", "i"], "left").select("docset_id", "i", "n", "linked", (dampening * everywhere + (1 - dampening) * (F.coalesce("got", F.lit(0.0)) + loose)).alias("score"))
-    return scores.select("docset_id", "i", (F.col("score") / F.max("score").over(of_docset)).alias("score"))
-
-
-def power_method(matrix: np.ndarray, config: Config) -> np.ndarray:
-    """Scores over the largest; one node gets 1."""
-    n = len(matrix)
-    if n <= 1:
-        return np.ones(n)
-    m = np.where(matrix >= config.threshold, matrix, 0.0)
-    np.fill_diagonal(m, 0)
-    if config.mode == "documented":
-        sums = m.sum(1, keepdims=True)
-        m = np.where(sums > 0, m / np.where(sums > 0, sums, 1), 1 / n)
-    else:
-        m = m / n
-    m = config.dampening / n + (1 - config.dampening) * m
-    p = np.full(n, 1 / n)
-    for _ in range(config.max_iterations):
-        new = m.T @ p
-        done = np.linalg.norm(new - p) < config.error
-        p = new
-        if done:
-            break
-    return p / p.max()
+    """docset_id, i, score after so many steps. nodes: docset_id, i; edges: docset_id, i, j, w, both directions. See Walk."""
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        if not len(nodes):
+            return nodes.append_column("score", pa.array([], pa.float64()))
+        place = {(r["doc_id"], r["sent_idx"]): k for k, r in enumerate(nodes["i"].to_pylist())}
+        at = lambda name: np.array([place[r["doc_id"], r["sent_idx"]] for r in edges[name].to_pylist()], np.int64)
+        i, j = at("i"), at("j")
+        half = i < j
+        walk = Walk(len(nodes), i[half], j[half], edges["w"].to_numpy()[half], mode)
+        return pa.table({"docset_id": nodes["docset_id"], "i": nodes["i"], "score": walk.fixed(iterations, dampening)})
+
+    node = "struct<doc_id: bigint, sent_idx: int>"
+    fresh = lambda *x: [F.col(c).alias(c) for c in x]  # noqa: E731  both may stem from one table
+    return nodes.select(*fresh("docset_id", "i")).groupBy("docset_id").cogroup(edges.select(*fresh("docset_id", "i", "j", "w")).groupBy("docset_id")).applyInArrow(run, f"docset_id string, i {node}, score double")
 
 
 def converged(vectors: DataFrame, nodes: DataFrame, config: Config = Config()) -> DataFrame:
-    """docset_id, doc_id, sent_idx, score, iterated to convergence; a docset's sentences are one numpy matrix.
+    """docset_id, doc_id, sent_idx, score, iterated to convergence; a docset's sentences and edges meet in one task.
 
     vectors: docset_id, doc_id, sent_idx, term, w; nodes: all sentences, also those without a vector.
     """
@@ -82,22 +101,25 @@ def converged(vectors: DataFrame, nodes: DataFrame, config: Config = Config()) -
 
 def grid(vectors: DataFrame, nodes: DataFrame, configs: list[Config]) -> DataFrame:
     """setting (the place of a configuration), docset_id, doc_id, sent_idx, score: converged() under each configuration, from
-    one similarity matrix a docset."""
-    packed = nodes.select("docset_id", "doc_id", "sent_idx").join(vectors.groupBy("docset_id", "doc_id", "sent_idx").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")), ["docset_id", "doc_id", "sent_idx"], "left")
-
-    def rank(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "sent_idx"]).reset_index(drop=True)
-        at = [i for i, t in enumerate(rows.terms) for _ in (t if t is not None else ())]
-        flat = [t for ts in rows.terms if ts is not None for t in ts]
-        column, _ = pd.factorize(pd.Series(flat, dtype=object), sort=True) if flat else (np.zeros(0, int), None)
-        dense = np.zeros((len(rows), int(column.max(initial=-1)) + 1))
-        np.add.at(dense, (at, column), [w for ws in rows.ws if ws is not None for w in ws])
-        norm = np.linalg.norm(dense, axis=1, keepdims=True)
-        dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
-        near, keys = dense @ dense.T, rows[["docset_id", "doc_id", "sent_idx"]]
-        return pd.concat([keys.assign(setting=k, score=power_method(near, config)) for k, config in enumerate(configs)])[["setting", "docset_id", "doc_id", "sent_idx", "score"]]
-
-    return packed.groupBy("docset_id").applyInPandas(rank, "setting int, docset_id string, doc_id long, sent_idx int, score double")
+    the similarities of a docset."""
+
+    def rank(nodes: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not len(nodes):
+            return pa.table({"setting": pa.array([], pa.int32()), **{c: nodes[c] for c in ("docset_id", "doc_id", "sent_idx")}, "score": pa.array([], pa.float64())})
+        nodes = nodes.sort_by([("doc_id", "ascending"), ("sent_idx", "ascending")])
+        place = {k: at for at, k in enumerate(zip(nodes["doc_id"].to_pylist(), nodes["sent_idx"].to_pylist(), strict=True))}
+        s = np.array([place[k] for k in zip(vectors["doc_id"].to_pylist(), vectors["sent_idx"].to_pylist(), strict=True)], np.int64)
+        order = np.argsort(s, kind="stable")
+        c = vectors["term"].combine_chunks().dictionary_encode().indices.to_numpy()[order] if len(s) else s
+        out, n = [], len(nodes)
+        for k, config in enumerate(configs):
+            scores = Walk(n, *half_edges(s[order], c, vectors["w"].to_numpy()[order], n, config.threshold), mode=config.mode).converged(config)
+            out.append(nodes.select(["docset_id", "doc_id", "sent_idx"]).add_column(0, "setting", pa.array(np.full(n, k, np.int32))).append_column("score", pa.array(scores)))
+        return pa.concat_tables(out)
+
+    keys = [F.col("docset_id").alias("docset_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_idx").cast("int").alias("sent_idx")]
+    rows = vectors.select(*keys, "term", F.col("w").cast("double").alias("w"))
+    return nodes.select(*keys).groupBy("docset_id").cogroup(rows.groupBy("docset_id")).applyInArrow(rank, "setting int, docset_id string, doc_id long, sent_idx int, score double")
 
 
 def ranked(scores: DataFrame, by: tuple[str, ...] = ("docset_id",)) -> DataFrame:

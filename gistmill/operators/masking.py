@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.functions import split
+
+
 def _doc():
     return Window.partitionBy("docset_id", "doc_id")
 
@@ -29,6 +33,30 @@ def gap_flags(scored: DataFrame, mode: str = "documented") -> DataFrame:
     return numbered.select("docset_id", "doc_id", "sent_idx", "f", masked.alias("masked"), thrown.alias("thrown"))
 
 
+def plain_flags(f: np.ndarray, mode: str = "documented") -> tuple[np.ndarray, np.ndarray]:
+    """gap_flags() of one document's scores."""
+    n, f = len(f), np.floor(np.asarray(f) * 1e9 + 0.5)
+    low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+    low[np.argsort(f, kind="stable")] = high[np.argsort(-f, kind="stable")] = np.arange(1, n + 1)
+    masked = high <= n * 3 // 10 if mode == "documented" else low <= n * 2 // 10
+    return masked, ~masked & (low <= n * 3 // 10)
+
+
+def plain_pieces(masked: np.ndarray, thrown: np.ndarray, sentences, most_tokens: int = 1024) -> list[tuple[int, str, int]]:
+    """sent_idx, piece and running tokens of gap_pieces() of one document; sentences: pyarrow strings, read no further than needed."""
+    out, running, before = [], 0, False
+    for k in np.flatnonzero(~thrown).tolist():
+        if masked[k] and before:
+            continue
+        before = bool(masked[k])
+        piece = "[MASK]" if before else sentences[k].as_py()
+        running += 1 if before else len(split.tokens(piece))
+        if running > most_tokens:
+            break
+        out.append((k, piece, running))
+    return out
+
+
 def gap_pieces(flags: DataFrame, sents: DataFrame, merge_masks: bool = True, most_tokens: int = 1024) -> DataFrame:
     """docset_id, doc_id, sent_idx, piece, running of what stays of each document up to its first piece beyond the limit.
 

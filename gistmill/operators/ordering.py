@@ -27,6 +27,21 @@ def order_summary(chosen: DataFrame, clustered: DataFrame, how: str = "median")
     return met.withColumn("order_idx", F.row_number().over(order) - 1)
 
 
+def in_order(chosen: dict[str, int], placed: list[tuple[str, int, float]]) -> list[tuple[str, int, int]]:
+    """Sentence, cluster and place of a docset's chosen sentences (with their places) in the new order, as order_summary() gives
+    them for placed (sentence, cluster, frac)."""
+    least, known = {}, {}
+    for sentence, cluster, frac in placed:
+        least[cluster, sentence] = min(frac, least.get((cluster, sentence), frac))
+        if sentence in chosen:
+            known[sentence] = min((cluster, frac), known.get(sentence, (cluster, frac)))
+    of: dict[int, list[float]] = {}
+    for (cluster, _), frac in least.items():
+        of.setdefault(cluster, []).append(frac)
+    middle = {cluster: float(np.median(x)) for cluster, x in of.items()}
+    return [(s, c, p) for _, c, _, p, s in sorted((middle[c], c, frac, chosen[s], s) for s, (c, frac) in known.items())]
+
+
 def lloyd(points: np.ndarray, k: int = 8, starts: int = 10, iterations: int = 300, tolerance: float = 1e-4, seed: int = 0) -> np.ndarray:
     """Cluster of each point, from k-means++ starts, the best of them; clusters are numbered by their first point."""
     distinct = np.unique(points, axis=0)
@@ -44,7 +59,9 @@ def lloyd(points: np.ndarray, k: int = 8, starts: int = 10, iterations: int = 30
             centres = np.vstack([centres, points[random.choice(len(points), p=d / d.sum()) if d.sum() > 0 else random.integers(len(points))]])
         for _ in range(iterations):
             own = far(centres).argmin(1)
-            moved = np.stack([points[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
+            inside = (own[:, None] == np.arange(k)).astype(float)
+            size = inside.sum(0)
+            moved = np.where(size[:, None] > 0, inside.T @ points / np.maximum(size, 1)[:, None], centres)
             shift = ((moved - centres) ** 2).sum()
             centres = moved
             if shift <= scale:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from gistmill.functions import split
 from gistmill.functions import text as T
 from gistmill.functions.stem import porter
+from gistmill.operators.docsets import Docset, Group
+from gistmill.operators.similarity import BLOCK
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -58,6 +64,66 @@ def leave_one_out(sents: DataFrame, n: int = 1) -> DataFrame:
     return met.select(*keys, p.alias("p"), r.alias("r")).withColumn("f", f_score(F.col("p"), F.col("r")))
 
 
+def plain_counts(tokens: list[str], n: int, stem: bool = False, limit: int | None = None) -> Counter:
+    """gram_counts() of one text."""
+    words = [split.lower(x) for x in tokens if split.is_word(x)][:limit]
+    words = [porter(x) for x in words] if stem else words
+    return Counter(zip(*(words[k:] for k in range(n)), strict=False))
+
+
+def plain_scores(own: Counter, other: Counter) -> tuple[float, float, float]:
+    """p, r, f of one text's counts against another's."""
+    shared = sum(min(c, other[gram]) for gram, c in own.items() if gram in other)
+    p, r = (shared / x.total() if shared else 0.0 for x in (own, other))
+    return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+
+def rest_scores(x: Group, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """leave_one_out() of a few documents."""
+    sentence, gram, _ = x.grams(n, False)
+    s, g, c = x.counts(sentence, gram)
+    row, many = x.row[s].astype(np.int64), int(gram.max(initial=0)) + 1
+    _, place = np.unique(row * many + g, return_inverse=True)
+    of_doc = np.bincount(place, c)[place]
+    shared, total = (np.bincount(s, v, len(x.doc_id)) for v in (np.minimum(c, of_doc - c), c))
+    rest = np.bincount(x.row, total, len(x.ids))[x.row] - total
+    p, r = _ratio(shared, total), np.where(total > 0, _ratio(shared, rest), 0.0)
+    return p, r, _ratio(2 * p * r, p + r)
+
+
+def mean_scores(x: Docset, golds: np.ndarray) -> np.ndarray:
+    """The mean f of each sentence's words against those of the sentences golds. Only pairs that share a word are met, block by block."""
+    total = np.bincount(x.s, x.tf, x.n)
+    number = np.full(x.n, -1)
+    number[golds] = np.arange(len(golds))
+    mine = number[x.s] >= 0
+    order = np.argsort(x.c[mine], kind="stable")
+    gold, held, tf = number[x.s[mine]][order], x.c[mine][order], x.tf[mine][order]
+    begin, end = np.searchsorted(held, x.c), np.searchsorted(held, x.c, "right")
+    until = np.searchsorted(x.s, np.arange(x.n + 1))
+    out, a, work = np.zeros(x.n), 0, np.append(0, np.cumsum(end - begin))[until]
+    while a < x.n:
+        b = max(a + 1, min(int(np.searchsorted(work, work[a] + BLOCK, "right")) - 1, a + BLOCK // max(len(golds), 1)))
+        own = slice(until[a], until[b])
+        many = end[own] - begin[own]
+        at = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(np.repeat((x.s[own] - a) * len(golds), many) + gold[at], np.minimum(np.repeat(x.tf[own], many), tf[at]), (b - a) * len(golds)).reshape(b - a, len(golds))
+        both = total[a:b, None] + total[golds]
+        out[a:b] = np.divide(2.0 * shared, both, out=np.zeros_like(shared), where=both > 0).sum(1) / max(len(golds), 1)
+        a = b
+    return out
+
+
+@F.pandas_udf(StringType())
+def fixed5(x: pd.Series) -> pd.Series:
+    """Five decimals as C's printf gives them: of the number as it is stored, not of its shortest decimal."""
+    return x.map(lambda v: f"{v:6.5f}", na_action="ignore")
+
+
 def averages(table: DataFrame) -> DataFrame:
     """method, rouge, p, r, f."""
     return table.groupBy("method", "rouge").agg(*[F.avg(x).alias(x) for x in "prf"])
@@ -66,8 +132,8 @@ def averages(table: DataFrame) -> DataFrame:
 def report_lines(table: DataFrame) -> DataFrame:
     """method, rouge, line: the averages' and each row's line of a score report."""
     name = F.upper("rouge")
-    rows = table.select("method", "rouge", "file", F.format_string("%s %s Eval %s R:%6.5f P:%6.5f F:%6.5f", "method", name, "file", *[F.bround(x, 5) for x in "rpf"]).alias("line"))
-    mean = averages(table).select("method", "rouge", F.explode(F.array(*[F.struct(F.lit(f"Average_{x.upper()}").alias("file"), F.format_string(f"%s %s Average_{x.upper()} %6.5f", "method", name, F.bround(x, 5)).alias("line")) for x in "prf"])).alias("s"))
+    rows = table.select("method", "rouge", "file", F.format_string("%s %s Eval %s R:%s P:%s F:%s", "method", name, "file", *[fixed5(x) for x in "rpf"]).alias("line"))
+    mean = averages(table).select("method", "rouge", F.explode(F.array(*[F.struct(F.lit(f"Average_{x.upper()}").alias("file"), F.format_string(f"%s %s Average_{x.upper()} %s", "method", name, fixed5(x)).alias("line")) for x in "prf"])).alias("s"))
     return rows.unionByName(mean.select("method", "rouge", "s.file", "s.line")).select("method", "rouge", "file", "line")
 
 
