@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gistmill.functions import split
 from gistmill.functions import text as T
-from gistmill.operators import masking, realization, rouge, selection
+from gistmill.operators import docsets, masking, realization, rouge, selection
 from gistmill.plans.registry import query, quoted
-from gistmill.plans.texts import docs, lead_sents, read, sents
+from gistmill.plans.texts import by_document, docs, lead_sents, read, sents, whole
 from gistmill.sources import files
 
 _WORDS = r"list_transform(list_filter(tokens, lambda x: regexp_matches(x, '[\p{L}\p{N}_]') and not starts_with(x, '&')), lambda x: lower(x))"
@@ -26,21 +29,35 @@ _LEAD = """firsts as (select *, len(tokens) as n_tokens from sents where doc_id
     refs as (select docset_id, doc_id, tokens from sents where sent_idx = 0)"""
 
 
-def summaries(spark, sf_dir):
-    every, first = sents(spark, sf_dir), lead_sents(spark, sf_dir)
-    lead = selection.lead_k(first).join(first.select("doc_id", "sent_idx", "tokens"), ["doc_id", "sent_idx"])
-    packed = F.array_sort(F.collect_list(F.struct("sent_idx", "tokens")))
-    lead = lead.groupBy("docset_id").agg(F.flatten(F.transform(packed, lambda x: x["tokens"])).alias("tokens")).select("docset_id", F.lit("lead").alias("method"), "tokens")
-    longest = every.groupBy("docset_id").agg(F.max_by("tokens", F.struct(F.size("tokens"), -F.col("doc_id"), -F.col("sent_idx"))).alias("tokens"))
-    return lead.unionByName(longest.select("docset_id", F.lit("longest").alias("method"), "tokens"))
+def briefs(spark, sf_dir):
+    """docset_id, doc_id and of each document with a sentence the tokens of its first one (first), of its longest (longest) and of
+    its lead (lead). One pass over documents."""
 
+    def run(x: docsets.Group) -> pa.Table:
+        out = {"first": [], "longest": [], "lead": []}
+        for a, b in zip(x.doc_begins, x.doc_ends, strict=True):
+            tokens = [split.tokens(s) for s in x.raws[int(a) : int(b)].to_pylist()]
+            out["first"].append(tokens[0])
+            out["longest"].append(max(tokens, key=len))
+            out["lead"].append([t for k in selection.lead([len(t) for t in tokens]) for t in tokens[k]])
+        arrays = {k: pa.array(v, pa.list_(pa.string())) for k, v in out.items()}
+        return pa.table({"docset_id": x.ids, "doc_id": x.doc_id[x.doc_begins], **arrays})
 
-def references(spark, sf_dir):
-    return sents(spark, sf_dir).where("sent_idx = 0").select("docset_id", "doc_id", "tokens")
+    return by_document(spark, sf_dir, run, "docset_id string, doc_id long, first array<string>, longest array<string>, lead array<string>", raw=True)
 
 
 def scores(spark, sf_dir, n, **how):
-    return rouge.scores(summaries(spark, sf_dir), references(spark, sf_dir), ["docset_id"], ["method"], ["doc_id"], n, **how)
+    """rouge.scores() of the lead of a docset's first document and of its longest sentence against each document's first sentence."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("doc_id").to_pylist()
+        longest = max(rows, key=lambda r: len(r["longest"]))["longest"]
+        methods = [("lead", rows[0]["lead"])] * bool(rows[0]["lead"]) + [("longest", longest)]
+        golds = [rouge.plain_counts(r["first"], n, **how) for r in rows]
+        out = [(rows[0]["docset_id"], method, r["doc_id"], *rouge.plain_scores(own, gold)) for method, own in [(m, rouge.plain_counts(t, n, **how)) for m, t in methods] for r, gold in zip(rows, golds, strict=True)]
+        return pa.table(dict(zip(("docset_id", "method", "doc_id", "p", "r", "f"), map(list, zip(*out, strict=True)), strict=True)))
+
+    return briefs(spark, sf_dir).groupBy("docset_id").applyInArrow(run, "docset_id string, method string, doc_id long, p double, r double, f double")
 
 
 def _score_sql(n: int) -> str:
@@ -133,7 +150,11 @@ for _n in (1, 2):
 
     @query(f"rouge{_n}_loo", f"with {_loo_sql(_n)} select doc_id, sent_idx, round(p, 6) + 0.0 as p, round(r, 6) + 0.0 as r, round(f, 6) + 0.0 as f from loo")
     def _(spark, sf_dir, n=_n):
-        return rouge.leave_one_out(sents(spark, sf_dir), n).select("doc_id", "sent_idx", "p", "r", "f")
+        def run(x: docsets.Group) -> pa.Table:
+            p, r, f = rouge.rest_scores(x, n)
+            return pa.table({"doc_id": x.doc_id, "sent_idx": x.sent_idx, "p": p, "r": r, "f": f})
+
+        return by_document(spark, sf_dir, run, "doc_id long, sent_idx int, p double, r double, f double", without=docsets.PLAIN)
 
 
 @query(
@@ -141,9 +162,10 @@ for _n in (1, 2):
     f"with refs as (select docset_id, doc_id as gold, tokens from sents where sent_idx = 0), a as ({_grams('sents', 'docset_id, doc_id, sent_idx', 1)}), b as ({_grams('refs', 'docset_id, gold', 1)}), sh as (select a.docset_id, doc_id, sent_idx, gold, sum(least(a.c, b.c)) as shared, any_value(a.total) as na, any_value(b.total) as nb from a join b on a.docset_id = b.docset_id and a.gram = b.gram group by all), golds as (select docset_id, count(*) as golds from refs group by docset_id) select s.doc_id, s.sent_idx, round(coalesce(sum(2.0 * shared / (na + nb)), 0) / any_value(golds), 6) + 0.0 as f from sents s join golds using (docset_id) left join sh using (docset_id, doc_id, sent_idx) group by s.doc_id, s.sent_idx",
 )
 def _(spark, sf_dir):
-    golds = references(spark, sf_dir).withColumnRenamed("doc_id", "gold")
-    own = sents(spark, sf_dir).select("docset_id", "doc_id", "sent_idx", "tokens")
-    return rouge.scores(own, golds, ["docset_id"], ["doc_id", "sent_idx"], ["gold"]).groupBy("doc_id", "sent_idx").agg(F.avg("f").alias("f"))
+    def run(x: docsets.Docset) -> dict:
+        return {"doc_id": x.doc_id, "sent_idx": x.sent_idx, "f": rouge.mean_scores(x, np.flatnonzero(x.sent_idx == 0))}
+
+    return whole(docsets.over_docsets, spark, sf_dir, run, "docset_id string, doc_id long, sent_idx int, f double", without=docsets.PLAIN, level=None).drop("docset_id")
 
 
 def _flags_sql(mode: str) -> str:
@@ -152,29 +174,52 @@ def _flags_sql(mode: str) -> str:
     flags as (select docset_id, doc_id, sent_idx, {masked} as masked, not ({masked}) and low <= n * 3 // 10 as thrown from num)"""
 
 
-def flags(spark, sf_dir, mode="documented"):
-    return masking.gap_flags(rouge.leave_one_out(sents(spark, sf_dir)), mode)
+def flagged(x: docsets.Group, mode: str = "documented"):
+    """masked and thrown of a few documents' sentences."""
+    f, masked, thrown = rouge.rest_scores(x, 1)[2], np.zeros(len(x.doc_id), bool), np.zeros(len(x.doc_id), bool)
+    for a, b in zip(x.doc_begins, x.doc_ends, strict=True):
+        masked[a:b], thrown[a:b] = masking.plain_flags(f[a:b], mode)
+    return masked, thrown
 
 
 for _mode in ("documented", "as_implemented"):
 
     @query(f"gap_flags_{_mode}", f"with {_flags_sql(_mode)} select doc_id, sent_idx, masked, thrown from flags")
     def _(spark, sf_dir, mode=_mode):
-        return flags(spark, sf_dir, mode).select("doc_id", "sent_idx", "masked", "thrown")
+        def run(x: docsets.Group) -> pa.Table:
+            masked, thrown = flagged(x, mode)
+            return pa.table({"doc_id": x.doc_id, "sent_idx": x.sent_idx, "masked": masked, "thrown": thrown})
+
+        return by_document(spark, sf_dir, run, "doc_id long, sent_idx int, masked boolean, thrown boolean", without=docsets.PLAIN)
 
 
 _PIECES = f"""{_flags_sql("documented")}, k as (select f.*, s.sentence, len(s.tokens) as n_tokens, lag(masked) over (partition by doc_id order by sent_idx) as before from flags f join sents s using (docset_id, doc_id, sent_idx) where not thrown),
     run as (select doc_id, sent_idx, case when masked then '[MASK]' else sentence end as piece, cast(sum(case when masked then 1 else n_tokens end) over (partition by doc_id order by sent_idx) as bigint) as running from k where not (masked and coalesce(before, false)))"""
 
 
+def pieces(x: docsets.Group):
+    """doc_id, and its pieces (sent_idx, piece, running), of a few documents."""
+    masked, thrown = flagged(x)
+    for a, b in zip(x.doc_begins, x.doc_ends, strict=True):
+        yield int(x.doc_id[a]), masking.plain_pieces(masked[a:b], thrown[a:b], x.raws[int(a) : int(b)])
+
+
 @query("gap_truncate", f"with {_PIECES} select doc_id, sent_idx, piece, running from run where running <= 1024")
 def _(spark, sf_dir):
-    return masking.gap_pieces(flags(spark, sf_dir), sents(spark, sf_dir)).select("doc_id", "sent_idx", "piece", "running")
+    def run(x: docsets.Group) -> pa.Table:
+        rows = [(doc, *r) for doc, found in pieces(x) for r in found]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["doc_id", "sent_idx", "piece", "running"])
+
+    return by_document(spark, sf_dir, run, "doc_id long, sent_idx int, piece string, running long", raw=True, without=docsets.PLAIN)
 
 
 @query("gap_dataset", f"with {_PIECES} select doc_id, string_agg(piece, ' ' order by sent_idx) as text from run where running <= 1024 group by doc_id")
 def _(spark, sf_dir):
-    return masking.gap_dataset(masking.gap_pieces(flags(spark, sf_dir), sents(spark, sf_dir))).select("doc_id", "text")
+    def run(x: docsets.Group) -> pa.Table:
+        rows = [(doc, " ".join(piece for _, piece, _ in found)) for doc, found in pieces(x) if found]
+        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+
+    return by_document(spark, sf_dir, run, "doc_id long, text string", raw=True, without=docsets.PLAIN)
 
 
 _SHUFFLED = "st as (select *, 3 + sum(len(tokens) + 1) over (partition by doc_id order by sent_idx) as running from sents), sh as (select docset_id, doc_id, sent_idx, row_number() over (partition by doc_id order by md5(doc_id || '|' || sent_idx || '|43'), sent_idx) - 1 as new_idx, sentence from st where running < 800)"
@@ -224,6 +269,6 @@ def _(spark, sf_dir):
     packed = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence")))
     each = every.groupBy("docset_id", "doc_id").agg(F.transform(packed, lambda x: x["sentence"]).alias("sentences"))
     rows = each.select("docset_id", F.col("doc_id").alias("pos"), F.lit(1).alias("corpus"), F.element_at("sentences", 1).alias("headline"), "sentences")
-    golds = references(spark, sf_dir).select("docset_id", T.detokenize(F.col("tokens")).alias("text"))
+    golds = every.where("sent_idx = 0").select("docset_id", T.detokenize(F.col("tokens")).alias("text"))
     found = files.llm_records(rows, golds)
     return found.select("id", "category", "title", F.size("text").alias("documents"), F.size("summary").alias("golds"), F.md5(F.array_join(F.flatten("text"), "\n")).alias("digest"))
